@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, sharding
+from . import language, mixing, repeats, sharding
 from .common import read_documents
 
 
@@ -21,12 +21,16 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir))
 
 
+def op4_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(read_documents(spark, sf_dir))
+
+
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_source_mix, op7_extendible_shards)}
+    return {f.__name__: f for f in (op1_language_id, op2_source_mix, op4_maximal_repeats, op7_extendible_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
