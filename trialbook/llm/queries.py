@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, repeats, sharding
+from . import language, media, mixing, repeats, sharding, tokens
 from .common import read_documents
 
 
@@ -25,12 +25,22 @@ def op4_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(read_documents(spark, sf_dir))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read_documents(spark, sf_dir))
+
+
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_documents(spark, sf_dir))
 
 
+def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_files(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_source_mix, op4_maximal_repeats, op7_extendible_shards)}
+    return {f.__name__: f for f in (op1_language_id, op2_source_mix, op4_maximal_repeats, op5_media_columns, op7_extendible_shards, op10_packed_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
