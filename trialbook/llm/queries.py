@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, mixing, repeats, sharding, tokens
+from . import jaccard, language, media, mixing, repeats, sharding, tokens
 from .common import read_documents
 
 
@@ -21,6 +21,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read_documents(spark, sf_dir))
+
+
 def op4_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(read_documents(spark, sf_dir))
 
@@ -40,7 +44,7 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_source_mix, op4_maximal_repeats, op5_media_columns, op7_extendible_shards, op10_packed_ids)}
+    return {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op4_maximal_repeats, op5_media_columns, op7_extendible_shards, op10_packed_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
