@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, language, media, mixing, repeats, sharding, tokens
+from . import decontaminate, jaccard, language, media, mixing, passages, pseudonyms, repeats, sharding, tokens
 from .common import read_documents
 
 
@@ -33,10 +34,23 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read_documents(spark, sf_dir))
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_documents(spark, sf_dir))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonyms.pseudonymize(read_documents(spark, sf_dir), key="demonstration key")
+    return out.select("doc_id", "text", "n_values", *[F.col("kinds")[k].cast("long").alias(f"n_{k}") for k in pseudonyms.KINDS])
+
+
+def op9_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(read_documents(spark, sf_dir))
+
+
 def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +58,7 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op4_maximal_repeats, op5_media_columns, op7_extendible_shards, op10_packed_ids)}
+    return {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op4_maximal_repeats, op5_media_columns, op6_benchmark_leaks, op7_extendible_shards, op8_feistel_pseudonyms, op9_fuzzy_passages, op10_packed_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
