@@ -35,6 +35,7 @@ from .hashing import shingles, stir, words
 
 SMALL = 24
 PER_PART = 3.5
+NO_ID = -(1 << 63)
 TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
 
 
@@ -246,3 +247,14 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = about.join(roots, about.set == roots.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "set").alias("label"))
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that name their component: one document of each group.  Rows of equal doc_id count as one
+    document (the first by text stays); of rows without doc_id those with equal text do."""
+    found = join(docs, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    kept = docs.withColumn("_id", key).join(named, "_id", "left_semi")
+    copies = Window.partitionBy("_id", F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy("text")
+    return kept.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -131,6 +131,20 @@ def predictor(model: Model | None) -> Callable[[pa.Array], tuple[list[str], np.n
     return predict
 
 
+def recognized(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text has a letter and a language scored ``least`` or more."""
+    given = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.landmarks, model.weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = predictor(given.value and Model(*given.value))
+        for b in batches:
+            for s in slices([b], "text", 1 << 20):
+                lang, score = predict(s.column("text"))
+                yield s.filter(pa.array([one != UNKNOWN and value >= least for one, value in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns with lang_pred and score; only the text is looked at."""
     keep = ["doc_id"] if keep is None else keep

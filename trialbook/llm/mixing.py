@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 FINE = 4096
+#: Stands for a null doc_id in a join.
+NO_ID = -(1 << 63)
 
 
 def apportion(claims: DataFrame, within: list[str], key: list[str], claim: str, seats: Column) -> DataFrame:
@@ -85,3 +87,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), growth: float = 1
     rest = F.col("cell_taken") - laps * F.col("cell_words")
     taken = laps * F.col("size") + F.least(F.greatest(rest - F.col("_ahead"), F.lit(0)), F.col("size"))
     return at.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, to the nearest whole document (0 to ``cap`` times)."""
+    taken = mix(docs, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).otherwise(0).alias("_times"))
+    taken = taken.groupBy("_id").agg(F.max("_times").cast("int").alias("_times")).filter("_times > 0")
+    at = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(taken, "_id")
+    return at.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -79,13 +79,20 @@ def assigned(addressed: DataFrame, found: list[tuple[int, DataFrame]]) -> DataFr
     return out
 
 
-def shard(docs: DataFrame, limit: int = 32 << 20, seed: int = 29) -> DataFrame:
-    """Per row: doc_id, n_bytes, shard (address bits, with ``/page`` on overflow), depth, shard_bytes, oversize."""
-    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64(F.lit(seed), "doc_id").alias("address"))
-    rows = materialize(rows)
-    found = directory(rows.groupBy("address").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("rows")), limit)
+ADDED = ("n_bytes", "shard", "depth", "shard_bytes", "oversize")
+
+
+def shard(docs: DataFrame, limit: int = 32 << 20, seed: int = 29, keep: list[str] | None = None) -> DataFrame:
+    """Per row: the ``keep`` columns (doc_id), n_bytes, shard (address bits, with ``/page`` on overflow), depth,
+    shard_bytes, oversize.  Kept columns of these names give way to the new ones."""
+    keep = [c for c in keep or ["doc_id"] if c not in ADDED]
+    n_bytes, address = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64(F.lit(seed), "doc_id").alias("address")
+    small = materialize(docs.select("doc_id", n_bytes, address))
+    found = directory(small.groupBy("address").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("rows")), limit)
+    whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept")
+    rows = docs.select(whole, n_bytes, address) if keep != ["doc_id"] else small.select(whole, "n_bytes", "address")
     out = assigned(rows, found)
-    plain = out.filter("shard is not null").select("doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes")
+    plain = out.filter("shard is not null").select("_kept", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes")
     if found[-1][0] == 64:
         alike = out.filter("shard is null").drop("shard", "shard_bytes", "shard_docs")
         most = alike.groupBy("address").agg(F.max("n_bytes").alias("_most"))
@@ -93,5 +100,5 @@ def shard(docs: DataFrame, limit: int = 32 << 20, seed: int = 29) -> DataFrame:
         page = F.floor((place - 1) / F.greatest(F.floor(F.lit(limit) / F.greatest("_most", F.lit(1))), F.lit(1)))
         alike = alike.join(most, "address").withColumn("shard", F.concat(prefix(F.col("address"), 64), F.lit("/"), page.cast("string")))
         pages = alike.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
-        plain = plain.unionByName(alike.join(pages, "shard").select("doc_id", "n_bytes", "shard", F.lit(64).alias("depth"), "shard_bytes"))
-    return plain.withColumn("oversize", F.col("shard_bytes") > limit)
+        plain = plain.unionByName(alike.join(pages, "shard").select("_kept", "n_bytes", "shard", F.lit(64).alias("depth"), "shard_bytes"))
+    return plain.select("_kept.*", "n_bytes", "shard", "depth", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversize"))
