@@ -76,7 +76,8 @@ def yaml_value(text: Column, key: str) -> Column:
 
 def json_map(text: Column) -> Column:
     """A JSON object as a map of strings; null if it does not parse."""
-    ok = F.try_parse_json(text).isNotNull()
+    # The parser overlooks text after the object.
+    ok = F.try_parse_json(text).isNotNull() & text.rlike(r"(?s)^\s*\{.*\}\s*$")
     return F.when(ok, F.from_json(text, "map<string,string>"))
 
 

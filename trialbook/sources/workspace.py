@@ -17,9 +17,9 @@ from .listing import listing
 def whole_files(spark: SparkSession, glob: str) -> DataFrame:
     """(path, text, mtime) of the files that match; none is an empty table."""
     schema = "value string"
-    files = spark.read.schema(schema).option("wholetext", "true").option("ignoreMissingFiles", "true")
+    files = spark.read.schema(schema).option("ignoreMissingFiles", "true")
     try:
-        found = files.text(glob)
+        found = files.text(glob, wholetext=True)
     except Exception as e:  # an empty match is an analysis error
         if "PATH_NOT_FOUND" not in str(e):
             raise
