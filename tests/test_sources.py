@@ -74,7 +74,7 @@ def test_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame(rows, "run_id string, status string, seq long")
     events.repartition(3).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("run_id string, status string, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = stream.states(source).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q = stream.states(source, hours=None).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r.run_id: r.status for r in spark.table("states").groupBy("run_id").agg(F.max_by("status", "seq").alias("status")).collect()}
     assert got == {r.run_id: r.status for r in guard.latest_state(events, ["run_id"], "status", ["seq"]).collect()}

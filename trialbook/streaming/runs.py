@@ -24,7 +24,7 @@ _HOUR = 3_600_000
 class RunState(StatefulProcessor):
     """Value state (status, seq) for each run, and a timer while it is RUNNING."""
 
-    def __init__(self, hours: int):
+    def __init__(self, hours: int | None):
         self.hours = hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -38,10 +38,11 @@ class RunState(StatefulProcessor):
                 if at > seq:
                     status, seq = new, int(at)
         self.last.update((status, seq))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if status == "RUNNING":
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hours * _HOUR)
+        if self.hours is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            if status == "RUNNING":
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hours * _HOUR)
         yield pd.DataFrame({"run_id": [key[0]], "status": [status], "seq": [seq], "hung": [False]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -54,9 +55,14 @@ class RunState(StatefulProcessor):
         pass
 
 
-def states(events: DataFrame, hours: int = 24) -> DataFrame:
-    """A stream (run_id, status, seq) -> the state after each batch.  Needs the RocksDB state store."""
-    return events.groupBy("run_id").transformWithStateInPandas(RunState(hours), OUTPUT, "Update", "ProcessingTime")
+def states(events: DataFrame, hours: int | None = 24) -> DataFrame:
+    """A stream (run_id, status, seq) -> the state after each batch.  Needs the RocksDB state store.
+
+    With ``hours`` None no run is watched for hanging; a query that is to end by itself needs that, for timers
+    of processing time keep it running.
+    """
+    mode = "None" if hours is None else "ProcessingTime"
+    return events.groupBy("run_id").transformWithStateInPandas(RunState(hours), OUTPUT, "Update", mode)
 
 
 def final_states(events: DataFrame) -> DataFrame:
