@@ -21,6 +21,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,10 @@ from .common import materialize, scratch_dir, slices
 from .store import Folder, own_name
 
 BLOCK = 1 << 16
-CACHE = 300_000
+CACHE = 700_000
 MAGIC = b"PACKEDID"
 _MARK = "\x00"
 _MEETING = r"[\s\pZ\x0b\x1c-\x1f\x{85}] | [\s\pZ\x0b\x1c-\x1f\x{85}]|\x00"
-_PLAIN = re.compile(r"( ?[^\W\d_]+)([.,])(?:(\n)([^\W\d_]+)([.,])?)?")
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -67,7 +67,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -81,22 +81,21 @@ class Encoder:
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of distinct chunks; word, full stop and line break are looked up apart."""
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """Encoded distinct pieces; what the cache does not hold goes to the library in one call."""
         known = self.known
-        parts = {}
-        for c in chunks:
-            if c not in known:
-                m = _PLAIN.fullmatch(c)
-                parts[c] = [g for g in m.groups() if g] if m else [c]
-        new = list(dict.fromkeys(p for ps in parts.values() for p in ps if p not in known))
-        if len(known) > CACHE:
-            known = self.known = {c: known[c] for c in chunks if c in known} | {p: known[p] for ps in parts.values() for p in ps if p in known}
-        known.update(zip(new, self.encode(new), strict=True))
-        return [known[c] if c not in parts else [i for p in parts[c] for i in known[p]] for c in chunks]
+        found = [known.get(t) for t in texts]
+        new = [t for t, ids in zip(texts, found, strict=True) if ids is None]
+        made = dict(zip(new, self.encode(new), strict=True))
+        if len(known) + len(made) > CACHE:
+            known.clear()
+            known.update((t, ids) for t, ids in zip(texts, found, strict=True) if ids is not None)
+        known.update(made)
+        return [known[t] if ids is None else ids for t, ids in zip(texts, found, strict=True)]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids back to back, and the number of ids of each text."""
@@ -105,26 +104,42 @@ class Encoder:
         if self.special:
             odd = pc.or_(odd, pc.match_substring_regex(texts, self.special))
         odd = odd.to_numpy(zero_copy_only=False)
-        marked = pc.replace_substring(pc.if_else(pa.array(odd), "", texts), " ", f"{_MARK} ")
-        lists = pc.split_pattern(marked, _MARK)
-        coded = lists.flatten().dictionary_encode()
-        found = self.pieces(coded.dictionary.to_pylist())
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(odd), "", texts), " ", f"{_MARK} "), _MARK)
+        chunks = lists.flatten().dictionary_encode()
+        # Distinct chunks, split again where a letter meets a stop, share most of their pieces.
+        inner = pc.replace_substring_regex(chunks.dictionary, r"([\pL\pN])([.,]\n?)(\pL)", f"\\1{_MARK}\\2{_MARK}\\3")
+        inner = pc.split_pattern(pc.replace_substring_regex(inner, r"([\pL\pN])([.,])$", f"\\1{_MARK}\\2"), _MARK)
+        parts = inner.flatten().dictionary_encode()
+        found = self.pieces(parts.dictionary.to_pylist())
         whole = self.encode([t.as_py() for t in texts.filter(pa.array(odd))])
-        found += whole
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        index = coded.indices.to_numpy().astype(np.int64)
-        per_text = lists.value_lengths().to_numpy()
+        flat = np.frombuffer(b"".join([*found, *whole]), "<u4")
+        sizes = np.fromiter(map(len, [*found, *whole]), np.int64) // 4
+        part_sizes = sizes[: len(found)]
+        index = parts.indices.to_numpy()
+        chunk_ids, counts = _gather(flat, part_sizes, index)
+        per_chunk = _sums(counts, inner.value_lengths().to_numpy())
         # A text encoded whole is the one piece of its list (an empty string) put in another's place.
+        per_text = lists.value_lengths().to_numpy()
         heads = np.cumsum(per_text) - per_text
-        index[heads[odd]] = len(found) - len(whole) + np.arange(len(whole))
-        many = sizes[index]
-        ends = np.cumsum(many)
-        starts = (np.cumsum(sizes) - sizes)[index]
-        total = int(ends[-1]) if len(ends) else 0
-        out = flat[np.arange(total) + np.repeat(starts - (ends - many), many)]
-        edges = np.append(0, ends)
-        return out, edges[heads + per_text] - edges[heads]
+        index = chunks.indices.to_numpy().astype(np.int64)
+        index[heads[odd]] = len(per_chunk) + np.arange(len(whole))
+        out, counts = _gather(np.concatenate([chunk_ids, flat[part_sizes.sum() :]]), np.concatenate([per_chunk, sizes[len(found) :]]), index)
+        return out, _sums(counts, per_text)
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` (their sizes given) in the order of ``index``, and the sizes of those."""
+    many = sizes[index]
+    ends = np.cumsum(many)
+    starts = (np.cumsum(sizes) - sizes)[index]
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - (ends - many), many)], many
+
+
+def _sums(values: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    edges = np.append(0, np.cumsum(values))
+    ends = np.cumsum(groups)
+    return edges[ends] - edges[ends - groups]
 
 
 class Writer:
