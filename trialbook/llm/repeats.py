@@ -16,7 +16,8 @@ maximal run of window starts with one minimizer occurrence (about 35 starts); a
 3. The spans come back to the documents, whose single exchange by doc_id serves all three passes.
 
 Defined cases: null or empty text has no byte; texts shorter than ``span`` lose nothing; rows that share a doc_id
-are documents of their own, ordered by text; a null doc_id comes before all others; extra columns are ignored.
+are documents of their own, ordered by text; a null doc_id comes before
+all others (and -2**63 is taken for one); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import joined_bytes, slices
 
 KMER = 32
 PIECE = 1 << 19
+#: Stands for a null doc_id while documents are matched.
+NO_ID = -(1 << 63)
 _RNG = np.random.default_rng(20240607)
 _VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -313,21 +316,22 @@ def _compare(span: int, most: int = 3 << 20):
     return run
 
 
-def removed_spans(docs: DataFrame, span: int = 100) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, copy, text) and, beside them, a list of removed spans (start, n) for those that have any."""
-    # The explicit exchange is the same in all three uses, so Spark runs it once.
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+def removed_spans(docs: DataFrame, span: int = 100) -> DataFrame:
+    """doc_id, copy, text and the removed spans: those in ``rows`` of kind REMOVED and those in ``repeats``."""
+    # One key throughout, so that the explicit exchange serves all three passes and both joins.
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
     base = base.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     cuts = base.mapInArrow(_segments(span), SEGMENT)
     sorted_ = cuts.repartition("key").sortWithinPartitions("key", "content", "doc_id", "copy", "start")
     rows = sorted_.mapInArrow(_resolve(span), SEGMENT)
-    listed = rows.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("rows"))
-    same = lambda x, y: x.join(y.withColumnsRenamed({"doc_id": "_d", "copy": "_c"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("copy") == F.col("_c")), "left").drop("_d", "_c")
-    bodies = same(base, listed).filter("rows is not null").mapInArrow(_extract(span), "key long, doc_id long, copy int, start int, body binary")
+    listed = rows.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "kind", "key", "start", "n")).alias("rows"))
+    own = lambda c: F.filter(c, lambda r: r["copy"] == F.col("copy"))
+    bodies = base.join(listed, "doc_id").select("doc_id", "copy", "text", own("rows").alias("rows"))
+    bodies = bodies.mapInArrow(_extract(span), "key long, doc_id long, copy int, start int, body binary")
     met = bodies.repartition("key").sortWithinPartitions("key", "doc_id", "copy", "start")
     repeats = met.mapInArrow(_compare(span), "doc_id long, copy int, start int, n int")
-    repeats = repeats.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
-    return base, same(same(base, listed), repeats)
+    repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "start", "n")).alias("repeats"))
+    return base.join(listed, "doc_id", "left").join(repeats, "doc_id", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "copy", "text", own("rows").alias("rows"), own("repeats").alias("repeats"))
 
 
 def dedup(docs: DataFrame, span: int = 100) -> DataFrame:
@@ -361,6 +365,6 @@ def dedup(docs: DataFrame, span: int = 100) -> DataFrame:
             size = np.diff(offsets)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": size, "n_removed": size - np.diff(left), "n_spans": spans.astype(np.int64), "kept_sha256": pa.array(digest, pa.string())})
 
-    out = removed_spans(docs, span)[1]
+    out = removed_spans(docs, span)
     removed = F.transform(F.filter("rows", lambda r: r["kind"] == REMOVED), lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n")))
     return out.select("doc_id", "text", removed.alias("removed"), "repeats").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
