@@ -100,6 +100,13 @@ def test_repeats(spark, seed):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 2, 5])
+def test_repeats_with_hot_minimizers(spark, hot):
+    rows = noisy(7)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.dedup(frame(spark, rows), hot=hot).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_of_the_table(spark, table):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op4_maximal_repeats(spark, DATA).collect()}
     assert got == brute_repeats([(i, r.text) for i, r in table.items()])

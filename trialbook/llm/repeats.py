@@ -13,6 +13,8 @@ maximal run of window starts with one minimizer occurrence (about 35 starts); a
    to the left by one same byte are passed over (the repeat that starts there covers them); over the others a stack scan
    closes common-prefix intervals from the deepest to the shallowest and yields the maximal repeats with all
    occurrences: at each closing, the later of the two first occurrences repeats the earlier one over that prefix.
+   A hot minimizer, with more than ``HOT`` contents, would make one task grow with the corpus.  Its segments send a row
+   for each window instead, dealt by the window's own hash, and all but the first of equal windows go.
 3. The spans come back to the documents, whose single exchange by doc_id serves all three passes.
 
 Defined cases: null or empty text has no byte; texts shorter than ``span`` lose nothing; rows that share a doc_id
@@ -110,8 +112,10 @@ def cut(raw: np.ndarray, offsets: np.ndarray, span: int, hasher: Hasher) -> tupl
 
 
 SEGMENT = "key long, content long, doc_id long, copy int, start int, n int, kind int"
-#: kind: a segment, a removed span (n bytes), a segment whose bytes are needed.
-PLAIN, REMOVED, NEEDED = 0, 1, 2
+#: kind: a segment, a removed span (n bytes), a segment whose bytes are needed, a segment of a hot minimizer.
+PLAIN, REMOVED, NEEDED, CROWDED = 0, 1, 2, 3
+#: A minimizer with more different contents than this is hot: its windows are dealt one by one instead.
+HOT = 1 << 16
 
 
 def _rows(kind: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -158,12 +162,26 @@ def _segments(span: int):
     return run
 
 
-def _resolve(span: int):
-    """Rows sorted by key, content, doc_id, copy, start -> removed spans and needed segments, in a stream."""
+def _resolve(span: int, hot: int):
+    """Rows sorted by key, content, doc_id, copy, start -> removed spans, needed and crowded segments, in a stream.
+
+    Of the key at hand at most ``hot`` segments are held back.
+    """
+    columns = ("key", "content", "doc_id", "copy", "start", "n")
+
+    def as_kind(kind: int, b: pa.RecordBatch) -> pa.RecordBatch:
+        return _rows(kind, **{c: b.column(c) for c in columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
-        reps, pending = 0, None  # contents of the last key so far; its only segment while it has just one
+        held: list[pa.RecordBatch] = []  # the last key's first segments of each content
+        crowded = False
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if sum(h.num_rows for h in held) > 1:
+                yield from (as_kind(NEEDED, h) for h in held)
+            held.clear()
+
         for b in batches:
             kind = b.column("kind").to_numpy()
             if (kind == REMOVED).any():
@@ -172,63 +190,83 @@ def _resolve(span: int):
             if not b.num_rows:
                 continue
             key, content = b.column("key").to_numpy(), b.column("content").to_numpy()
-            new_key = np.ones(len(key), bool)
-            new_key[1:] = key[1:] != key[:-1]
-            new_key[0] = key[0] != last[0]
-            rep = new_key.copy()
-            rep[1:] |= content[1:] != content[:-1]
-            rep[0] |= content[0] != last[1]
-            group = np.cumsum(new_key) - new_key[0]
-            counts = np.bincount(group[rep], minlength=group[-1] + 1)
-            if not new_key[0]:
-                counts[0] += reps
-                if pending is not None and counts[0] > 1:
-                    yield pending
-            needed = rep & (counts[group] > 1)
+            new_key = np.append(key[0] != last[0], key[1:] != key[:-1])
+            rep = new_key | np.append(content[0] != last[1], content[1:] != content[:-1])
             last = (key[-1], content[-1])
-            reps = counts[-1]
-            if group[-1] > 0 or new_key[0]:
-                pending = None
-                if reps == 1:
-                    at = int(np.flatnonzero(rep & (group == group[-1]))[0])
-                    pending = _rows(NEEDED, **{c: b.column(c).slice(at, 1) for c in ("key", "content", "doc_id", "copy", "start", "n")})
-            elif reps > 1:
-                pending = None
             if (~rep).any():
                 gone = b.filter(pa.array(~rep))
                 yield _rows(REMOVED, doc_id=gone.column("doc_id"), copy=gone.column("copy"), start=gone.column("start"), n=gone.column("n").to_numpy() - 1 + span)
-            if needed.any():
-                kept = b.filter(pa.array(needed))
-                yield _rows(NEEDED, **{c: kept.column(c) for c in ("key", "content", "doc_id", "copy", "start", "n")})
+            group = np.cumsum(new_key)  # 0: still the key at hand
+            first, final = group == 0, group == group[-1]
+            if (rep & first).any():
+                held.append(b.filter(pa.array(rep & first)))
+            if not crowded and sum(h.num_rows for h in held) > hot:
+                crowded = True
+            if crowded:
+                yield from (as_kind(CROWDED, h) for h in held)
+                held.clear()
+            if group[-1] == 0:
+                continue
+            yield from settled()
+            counts = np.bincount(group[rep])
+            among = rep & ~first & ~final & (counts[group] > 1)
+            for kind_, these in ((NEEDED, counts[group] <= hot), (CROWDED, counts[group] > hot)):
+                if (among & these).any():
+                    yield as_kind(kind_, b.filter(pa.array(among & these)))
+            held.append(b.filter(pa.array(rep & final)))
+            crowded = held[0].num_rows > hot
+            if crowded:
+                yield from (as_kind(CROWDED, h) for h in held)
+                held.clear()
+        yield from settled()
 
     return run
 
 
+BODY = "key long, doc_id long, copy int, start int, body binary"
+
+
 def _extract(span: int):
-    """Joined documents with their lists of rows -> bytes of the needed segments."""
+    """Joined documents with their lists of rows -> bytes of the needed segments; of crowded ones a row for each
+    window, under the window's own hash and without a body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(PIECE + span)
         for b in slices(batches, most=4 << 20):
             raw, offsets = joined_bytes(b.column("text"))
             lists = b.column("rows")
             rows = lists.flatten()
             doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-            kind = rows.field("kind").to_numpy()
+            kind, start, n = (rows.field(c).to_numpy() for c in ("kind", "start", "n"))
+            start, n = start.astype(np.int64), n.astype(np.int64)
             at = np.flatnonzero(kind == NEEDED)
-            if not len(at):
-                continue
-            doc, start, n = doc[at], rows.field("start").to_numpy()[at].astype(np.int64), rows.field("n").to_numpy()[at]
-            key = rows.field("key").to_numpy()[at]
-            size = n.astype(np.int64) - 1 + span
-            ends = np.cumsum(size)
-            take = np.arange(ends[-1]) + np.repeat(offsets[doc] + start - (ends - size), size)
-            body = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(raw[take])])
-            pick = pa.array(doc)
-            yield pa.record_batch({"key": key, "doc_id": b.column("doc_id").take(pick), "copy": b.column("copy").take(pick), "start": pa.array(start.astype(np.int32)), "body": body})
+            if len(at):
+                size = n[at] - 1 + span
+                ends = np.cumsum(size)
+                take = np.arange(ends[-1]) + np.repeat(offsets[doc[at]] + start[at] - (ends - size), size)
+                body = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(raw[take])])
+                yield _placed(b, doc[at], rows.field("key").to_numpy()[at], start[at], body)
+            at = np.flatnonzero(kind == CROWDED)
+            if len(at):
+                # All window hashes of the batch, piece by piece; then those of the crowded segments.
+                code = [np.zeros(0, np.uint64)]
+                for low in range(0, len(raw) - span + 1, PIECE):
+                    hasher.load(raw[low : low + PIECE + span - 1])
+                    code.append(hasher.windows(span))
+                inner = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+                doc, start = np.repeat(doc[at], n[at]), np.repeat(start[at], n[at]) + inner
+                code = np.concatenate(code)[offsets[doc] + start].view(np.int64)
+                order = np.lexsort((start, b.column("copy").to_numpy()[doc], b.column("doc_id").to_numpy()[doc], code))
+                yield _placed(b, doc[order], code[order], start[order], pa.nulls(len(order), pa.binary()))
 
     return run
 
 
+def _placed(b: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, start: np.ndarray, body: pa.Array) -> pa.RecordBatch:
+    pick = pa.array(doc)
+    return pa.record_batch({"key": key, "doc_id": b.column("doc_id").take(pick), "copy": b.column("copy").take(pick), "start": pa.array(start.astype(np.int32)), "body": body})
+
+
 def maximal_repeats(raw: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments back to back, the first occurrences first -> (segment, offset in it, length) of each repeat of an
     earlier occurrence, for maximal repeats of at least ``span`` bytes."""
@@ -294,8 +332,17 @@ def _compare(span: int, most: int = 3 << 20):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, window = 0, None
         for b in batches:
+            alone = b.column("body").is_null()
+            if alone.true_count:
+                # Windows of hot minimizers: all but the first of each go.
+                w, b = b.filter(alone), b.filter(b.column("body").is_valid())
+                code = w.column("key").to_numpy()
+                again = ~np.append(code[0] != window, code[1:] != code[:-1])
+                window = code[-1]
+                w = w.filter(pa.array(again))
+                yield pa.record_batch({"doc_id": w.column("doc_id"), "copy": w.column("copy"), "start": w.column("start"), "n": pa.array(np.full(w.num_rows, span, np.int32))})
             if not b.num_rows:
                 continue
             key = b.column("key").to_numpy()
@@ -316,25 +363,25 @@ def _compare(span: int, most: int = 3 << 20):
     return run
 
 
-def removed_spans(docs: DataFrame, span: int = 100) -> DataFrame:
+def removed_spans(docs: DataFrame, span: int = 100, hot: int = HOT) -> DataFrame:
     """doc_id, copy, text and the removed spans: those in ``rows`` of kind REMOVED and those in ``repeats``."""
     # One key throughout, so that the explicit exchange serves all three passes and both joins.
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
     base = base.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     cuts = base.mapInArrow(_segments(span), SEGMENT)
     sorted_ = cuts.repartition("key").sortWithinPartitions("key", "content", "doc_id", "copy", "start")
-    rows = sorted_.mapInArrow(_resolve(span), SEGMENT)
+    rows = sorted_.mapInArrow(_resolve(span, hot), SEGMENT)
     listed = rows.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "kind", "key", "start", "n")).alias("rows"))
     own = lambda c: F.filter(c, lambda r: r["copy"] == F.col("copy"))
     bodies = base.join(listed, "doc_id").select("doc_id", "copy", "text", own("rows").alias("rows"))
-    bodies = bodies.mapInArrow(_extract(span), "key long, doc_id long, copy int, start int, body binary")
+    bodies = bodies.mapInArrow(_extract(span), BODY)
     met = bodies.repartition("key").sortWithinPartitions("key", "doc_id", "copy", "start")
     repeats = met.mapInArrow(_compare(span), "doc_id long, copy int, start int, n int")
     repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "start", "n")).alias("repeats"))
     return base.join(listed, "doc_id", "left").join(repeats, "doc_id", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "copy", "text", own("rows").alias("rows"), own("repeats").alias("repeats"))
 
 
-def dedup(docs: DataFrame, span: int = 100) -> DataFrame:
+def dedup(docs: DataFrame, span: int = 100, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,6 +412,6 @@ def dedup(docs: DataFrame, span: int = 100) -> DataFrame:
             size = np.diff(offsets)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": size, "n_removed": size - np.diff(left), "n_spans": spans.astype(np.int64), "kept_sha256": pa.array(digest, pa.string())})
 
-    out = removed_spans(docs, span)
+    out = removed_spans(docs, span, hot)
     removed = F.transform(F.filter("rows", lambda r: r["kind"] == REMOVED), lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n")))
     return out.select("doc_id", "text", removed.alias("removed"), "repeats").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
