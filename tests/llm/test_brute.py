@@ -346,3 +346,12 @@ def test_media_headers(spark):
     got = {r.doc_id: r for r in media.with_metadata(index, uri).collect()}
     assert (got[1].width, got[1].height) == (64, 2) and got[2].height == 1
     assert (got[2].shard, got[2].offset) == (got[3].shard, got[3].offset) or got[2].digest == got[3].digest
+
+
+def test_jaccard_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = set(con.sql(f"select doc_id, n_shingles, component_id from ({queries.oracle_sql()['op3_ngram_jaccard']})").fetchall())
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in queries.op3_ngram_jaccard(spark, DATA).collect()} == want
