@@ -207,8 +207,8 @@ def test_leaks(spark):
         k, text = i % 12, say(80)
         _, item = items[k]
         if i < 36:
-            edits = int(0.06 * len(item)) if i >= 24 else i // 12 * 2
-            edits = min(edits, (len(item) - 12) // 12)
+            edits = int(0.08 * len(item)) if i >= 24 else i // 12 * 2
+            edits = min(edits, (len(item) - decontaminate.Q) // decontaminate.Q)
             chars = list(item.upper() if i % 2 else item)
             for at in rnd.sample(range(len(chars)), edits):
                 chars[at] = "#"

@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import joined_bytes, slices
 
-Q = 12
+Q = 10
 TABLE_BITS = 21
 BLOCK = 8 << 20
+PIECE = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
@@ -88,21 +89,32 @@ class Items:
             of = np.log2(self.sizes).astype(int) == c
             self.classes.append((int((self.sizes + self.budget)[of].max()), int(self.least[of].min())))
 
-    def dense(self, marked: np.ndarray) -> np.ndarray:
+    def marks(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose Q-gram occurs in an item, and the grams; the bytes are taken in pieces."""
+        places, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for low in range(0, len(raw) - Q + 1, PIECE):
+            code = grams(raw[low : low + PIECE + Q - 1])
+            where = np.flatnonzero(self.table[code >> np.uint64(64 - TABLE_BITS)])
+            code = code[where]
+            near = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+            real = self.codes[near] == code if len(self.codes) else np.zeros(0, bool)
+            places.append(where[real] + low)
+            codes.append(code[real])
+        return np.concatenate(places), np.concatenate(codes)
+
+    def dense(self, where: np.ndarray) -> np.ndarray:
         """Which marked places lie in a stretch that may hold a passage."""
-        where = np.flatnonzero(marked)
         out = np.zeros(len(where), bool)
-        rank = np.arange(len(where))
         for window, least in self.classes:
             # Runs of ``least`` marks within one window, spread back to their marks.
             if len(where) < least:
                 continue
-            tight = where[least - 1 :] - where[: len(where) - least + 1] < window
+            tight = np.flatnonzero(where[least - 1 :] - where[: len(where) - least + 1] < window)
             edge = np.zeros(len(where) + 1, np.int32)
-            np.add.at(edge, rank[: len(tight)][tight], 1)
-            np.add.at(edge, rank[: len(tight)][tight] + least, -1)
+            edge[tight] += 1
+            edge[tight + least] -= 1
             out |= np.cumsum(edge[:-1]) > 0
-        return where[out]
+        return out
 
     def search(self, text: np.ndarray, places: np.ndarray, code: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Leaks in one text: (item, start, end, edits), from its dense marks and their grams."""
@@ -177,25 +189,21 @@ def blocks(benchmark: DataFrame, most: int = BLOCK) -> Iterator[tuple[list, list
 def scan(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
     """Row number and leaks of each text that has any."""
     raw, offsets = fold(batch.column("text"))
-    code = grams(raw)
-    marked = items.table[code >> np.uint64(64 - TABLE_BITS)]
-    where = np.flatnonzero(marked)
-    exact = np.searchsorted(items.codes, code[where])
-    exact[exact == len(items.codes)] = 0
-    marked[where] = items.codes[exact] == code[where] if len(items.codes) else False
-    # A Q-gram must end in its own text.
-    for edge in offsets[1:-1]:
-        marked[max(edge - Q + 1, 0) : edge] = False
-    places = items.dense(marked)
+    places, code = items.marks(raw)
     owner = np.searchsorted(offsets, places, side="right") - 1
+    # A Q-gram must end in its own text.
+    inside = places + Q <= offsets[owner + 1]
+    places, code, owner = places[inside], code[inside], owner[inside]
+    dense = items.dense(places)
+    places, code, owner = places[dense], code[dense], owner[dense]
     for k in np.unique(owner):
-        own = places[owner == k]
-        found = items.search(raw[offsets[k] : offsets[k + 1]], own - offsets[k], code[own])
+        own = owner == k
+        found = items.search(raw[offsets[k] : offsets[k + 1]], places[own] - offsets[k], code[own])
         if found:
             yield int(k), found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
     """A row for each document and item found in it: doc_id, item_id, n_passages, edits (the least)."""
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, n_passages long, edits long"
@@ -218,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFram
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
     """The rows of ``docs`` without a leak, all columns as they are; no shuffle."""
     for ids, texts in blocks(benchmark):
         given = docs.sparkSession.sparkContext.broadcast((ids, texts))
