@@ -133,3 +133,22 @@ def test_first_failure(spark):
     steps = spark.createDataFrame([("s", 0, 0), ("s", 1, 4), ("s", 2, 5), ("t", 0, 0)], "seq string, idx int, code int")
     got = {r.seq: (r.failed_at, r.exit_code) for r in guard.first_failure(steps, ["seq"]).collect()}
     assert got == {"s": (1, 4), "t": (None, 0)}
+
+
+def test_job_from_start_to_end(spark):
+    from trialbook.plans import running
+
+    env = F.create_map(F.lit("SLURM_JOB_ID"), F.col("job"), F.lit("SLURM_ARRAY_JOB_ID"), F.lit("9"), F.lit("SLURM_ARRAY_TASK_ID"), F.col("task"))
+    jobs = spark.createDataFrame([("a", "10", "1", "array", "01:00:00"), ("a", "11", "7", "array", "01:00:00"), ("s", "12", "", "seq", "01:00:00"), ("x", "13", "", "single", ""), ("o", "14", "", "single", "01:00:00")], "exp_name string, job string, task string, run_mode string, time_limit string")
+    jobs = jobs.withColumn("env", env).withColumns({"project_root": F.lit("/p"), **{c: F.lit(True) for c in ("log_dir_ok", "link_ok", "helper_ok", "metadata_ok")}})
+    ready, failed = running.bootstrapped(running.bound(jobs))
+    assert {r.job_dir for r in ready.collect()} == {"9_1", "9_7", "12", "14"}
+    assert failed.first().record["fail_reason"] == "MISSING_TIME_LIMIT"
+    scripts = spark.createDataFrame([(e, "run", "one") for e in "asxo"], "exp_name string, base_command string, run_command string")
+    grids = spark.createDataFrame([(e, 0, "--k", ["u", "v"]) for e in "as"], "exp_name string, pos int, arg string, values array<string>")
+    got = sorted((r.job_dir, r.line, r.command) for r in running.commands(ready, scripts, grids).collect())
+    assert got == [("12", 0, "run --k u"), ("12", 1, "run --k v"), ("14", 0, "one"), ("9_1", 0, "run --k v"), ("9_7", 0, None)]
+    records = {r.job_dir: r.record for r in running.started(ready).collect()}
+    assert records["9_1"]["array_task_id"] == "1" and "array_task_id" not in records["12"] and records["12"]["status"] == "RUNNING"
+    ended = running.finished(spark.createDataFrame([("a", "9_1", "10", "RUNNING", "0", 1)], "exp_name string, job_dir string, job_id string, state string, code string, line int")).first()
+    assert ended.status == "COMPLETED" and "Job completed" in ended.payload
