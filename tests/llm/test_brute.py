@@ -262,7 +262,8 @@ def test_feistel_permutes(spark):
     assert len(set(got)) == 63 and all(0 <= a < 9 and 0 <= b < 7 for a, b in got) and got != sorted(got)
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_passages(spark, crowd):
     rnd = random.Random(5)
     vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(900)]
     say = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
@@ -280,7 +281,7 @@ def test_passages(spark):
         if i % 5 == 0:
             text[5:5] = line
         rows.append((i, " ".join(text)))
-    got = passages.repeated(frame(spark, rows)).collect()
+    got = passages.repeated(frame(spark, rows).repartition(5), crowd=crowd).collect()
     assert {r.doc_id for r in got} | {r.other_id for r in got} == planted
     assert all(60 <= r.n_words <= 80 and r.other_id < r.doc_id for r in got)
 
