@@ -11,8 +11,8 @@ from .common import materialize
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) long edges -> (node, root) for every node of an edge; root is the least node of its component.
 
-    Each step takes the least neighbour by a partial aggregation and hangs the neighbours on it through a join that
-    Spark can split where a node is hot; the edge table is checkpointed after each round and never leaves the executors.
+    Each step takes the least neighbour by a partial aggregation, checkpoints it, and hangs the neighbours on it through a
+    join of two plain exchanges, which Spark can split where a node is hot; no edge leaves the executors.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = materialize(pairs)
@@ -21,9 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of u hangs on the least of u and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(least)
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large)
         # Small star: u and its smaller neighbours hang on the least of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
