@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` names it; only where that is unset (local tests) is a folder made here.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
         found = f"file://{tempfile.mkdtemp(prefix='trialbook-')}"
     if sc.getCheckpointDir() is None:
