@@ -356,3 +356,12 @@ def test_jaccard_equals_sql(spark):
     con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
     want = set(con.sql(f"select doc_id, n_shingles, component_id from ({queries.oracle_sql()['op3_ngram_jaccard']})").fetchall())
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in queries.op3_ngram_jaccard(spark, DATA).collect()} == want
+
+
+@pytest.mark.parametrize("step,entries", [(2, 1 << 17), (3, 2)])
+def test_shards_in_rounds(spark, table, monkeypatch, step, entries):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    once = {(r.doc_id, r.shard, r.shard_bytes) for r in sharding.shard(docs, limit=60_000).collect()}
+    monkeypatch.setattr(sharding, "STEP", step)
+    monkeypatch.setattr(sharding, "DIRECTORY", entries)
+    assert {(r.doc_id, r.shard, r.shard_bytes) for r in sharding.shard(docs, limit=60_000).collect()} == once
