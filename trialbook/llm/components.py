@@ -11,12 +11,11 @@ from .common import materialize
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) long edges -> (node, root) for every node of an edge; root is the least node of its component.
 
-    Each step takes the least neighbour by a partial aggregation and hangs the neighbours on it through a join that
-    Spark can split where a node is hot; the edge table is checkpointed after each round and never leaves the executors.
+    Each step takes the least neighbour by a partial aggregation and hangs the neighbours on it through a join on the
+    node; the edge table (two numbers a row) is checkpointed after each round and never leaves the executors.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = materialize(pairs)
-    mark = None
     while True:
         # Large star: every larger neighbour of u hangs on the least of u and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,9 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
-        if now == mark:
+        # Done when the edges are stars: no node has two roots, no root hangs on another.
+        twice = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+        hanging = pairs.select(F.col("v").alias("u")).join(pairs.select("u"), "u", "left_semi")
+        if not twice.unionByName(hanging).limit(1).count():
             break
-        mark = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
