@@ -365,3 +365,24 @@ def test_shards_in_rounds(spark, table, monkeypatch, step, entries):
     monkeypatch.setattr(sharding, "STEP", step)
     monkeypatch.setattr(sharding, "DIRECTORY", entries)
     assert {(r.doc_id, r.shard, r.shard_bytes) for r in sharding.shard(docs, limit=60_000).collect()} == once
+
+
+def test_composed_passages(spark):
+    """Blocks of lines each of which came first in another document, against all earlier stretches of 52 words."""
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(2000)]
+    say = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    lines = [say(n) for n in (30, 30, 20, 20, 20, 15, 15, 15, 15)]
+    parts = [[0], [1], [2, 3], [3, 4], [5, 6], [6, 7], [7, 8]] + [[0, 1], [2, 3, 4], [5, 6, 7, 8]] * 3
+    rows = [(k, say(40) + [w for i in part for w in lines[i]] + say(40)) for k, part in enumerate(parts)]
+    held, need = {}, set()
+    for k, text in rows:
+        own = {tuple(text[i : i + 52]) for i in range(len(text) - 51)}
+        if own & held.keys():
+            need.add(k)
+        held.update(dict.fromkeys(own - held.keys(), k))
+    assert need == set(range(10, 16))
+    for crowd in (2, 16):
+        got = passages.repeated(frame(spark, [(k, " ".join(text)) for k, text in rows]).repartition(3), crowd=crowd).collect()
+        assert {(r.doc_id, r.other_id) for r in got} == {(k, 7 + (k - 7) % 3) for k in need}
+        assert all(58 <= r.n_words <= 62 and r.n_agree >= 58 for r in got)
