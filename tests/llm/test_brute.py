@@ -386,3 +386,45 @@ def test_composed_passages(spark):
         got = passages.repeated(frame(spark, [(k, " ".join(text)) for k, text in rows]).repartition(3), crowd=crowd).collect()
         assert {(r.doc_id, r.other_id) for r in got} == {(k, 7 + (k - 7) % 3) for k in need}
         assert all(58 <= r.n_words <= 62 and r.n_agree >= 58 for r in got)
+
+
+def test_passages_of_80_percent(spark):
+    """Recall of 60-word passages at 80 to 90 % agreement, edits even or at random."""
+    rnd = random.Random(12)
+    fresh = iter(range(10**9))
+    say = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    rows, need = [], {}
+
+    def copied(words, edits):
+        if isinstance(edits, int):
+            return [f"e{next(fresh)}" if i % edits == edits - 1 else w for i, w in enumerate(words)], edits
+        out, n = [], 0
+        for w in words:
+            kind = rnd.randrange(3) if rnd.random() < edits else None
+            n += kind is not None
+            out += [w] if kind is None else [[f"e{next(fresh)}"], [], [w, f"e{next(fresh)}"]][kind]
+        return out, n
+
+    for edits in (5, 6, 8, 0.1, 0.15):
+        for _ in range(40):
+            words = say(60)
+            other, n = copied(words, edits)
+            i = len(rows)
+            rows += [(i, say(30) + words + say(30)), (i + 1, say(50) + other + say(20))]
+            if isinstance(edits, int) or n <= 9:
+                need[i + 1] = edits
+    got = passages.repeated(frame(spark, [(i, " ".join(w)) for i, w in rows]).repartition(3)).collect()
+    assert all(r.other_id == r.doc_id - 1 and r.n_words >= 45 and r.n_agree >= 0.8 * max(r.n_words, r.other_words) for r in got)
+    assert set(need) <= {r.doc_id for r in got}
+
+
+def test_alignment_columns():
+    """Ends with a gap, gaps between runs, and a passage inside a longer chain of low agreement."""
+    a = np.arange(100, 180, dtype=np.uint32)
+    b = np.concatenate([a[:3], a[4:60], [7, 8], a[60:]]).astype(np.uint32)
+    x, y, columns = passages.align(a, b, [(10, 9, 50), (60, 61, 10)])
+    assert (x, y) == (0, 0) and (columns == passages.AGREE).sum() == 79
+    assert (columns == passages.ONLY_A).sum() == 1 and (columns == passages.ONLY_B).sum() == 2
+    mixed = np.array([0] * 50 + [1, 1, 0] * 20, np.int8)
+    ((i, j),) = passages.spans(mixed, 45, 0.8)
+    assert i == 0 and 50 <= j <= 75 and (mixed[i:j] == 0).sum() >= 0.8 * (j - i)
