@@ -29,3 +29,16 @@ def test_run(spark):
 def test_whole_run_is_stable(spark):
     a = sorted((r.doc_id, r.shard) for r in corpus_pipeline.run(spark, DATA).select("doc_id", "shard").collect())
     assert a == sorted((r.doc_id, r.shard) for r in corpus_pipeline.run(spark, DATA).select("doc_id", "shard").collect())
+
+
+def test_language_stage_keeps_every_lettered_text(spark):
+    """A larger table, with documents of one word or letter and of mixed languages."""
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = [r.text for r in docs.filter("text is not null").orderBy("doc_id").select("text").collect()]
+    words = sorted({w for t in texts for w in t.split()})[::40]
+    mixed = [" ".join(t[:40] for t in texts[k : k + 8]) for k in range(0, 400, 8)]
+    short = ["A.", "De.", "Re.", "Edrere.", "Mentmentan.", "x", "\u00df", "7", "...", ""]
+    extra = spark.createDataFrame([(10**9 + i, t, None, "short", len(t)) for i, t in enumerate(words + mixed + short)], docs.schema)
+    rows = docs.unionByName(extra)
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, rows, DATA).select("doc_id").collect()}
+    assert got == {r.doc_id for r in rows.collect() if r.text and re.search(r"[^\W\d_]", r.text)}

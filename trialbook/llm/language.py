@@ -131,8 +131,12 @@ def predictor(model: Model | None) -> Callable[[pa.Array], tuple[list[str], np.n
     return predict
 
 
-def recognized(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, as they are, whose text has a letter and a language scored ``least`` or more."""
+def recognized(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text has a letter and a language scored ``least`` or more.
+
+    A score says how far the best language is ahead, not whether the text is in any: it falls to 1 / languages on short
+    texts, so by default none is too low.
+    """
     given = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.landmarks, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
