@@ -1,5 +1,6 @@
 """The operators against brute-force versions on small corpora."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -428,3 +429,23 @@ def test_alignment_columns():
     mixed = np.array([0] * 50 + [1, 1, 0] * 20, np.int8)
     ((i, j),) = passages.spans(mixed, 45, 0.8)
     assert i == 0 and 50 <= j <= 75 and (mixed[i:j] == 0).sum() >= 0.8 * (j - i)
+
+
+def test_neighbours_of_values(spark):
+    """Cards beside other numbers, timestamps, dates with the year last and national phones."""
+    card = "4539 1488 0343 6467"
+    texts = [f"pay {card} 12/27 ok", "4539148803436467 2 items", f"12 {card} 345", f"{card} 10.0.0.1", f"{card} 2024-02-29", f"{card} {card}", f"nr {card} 2nd"]
+    texts += ["at 2024-02-29T10:00:00Z", "am 29.02.2024.", "on 02/29/2024", "on 29/02/2024", "1/2/2024", "(555) 123-4567", "call 555-123-4567, 555.123.4567", "29.02.2023 13/13/2024 99.99.2024"]
+    out = {r.doc_id: r for r in pseudonyms.pseudonymize(frame(spark, list(enumerate(texts))), "secret").collect()}
+    new = re.search(r"pay (.{19}) 12/27 ok", out[0].text)[1]
+    assert new != card and out[1].text == new.replace(" ", "") + " 2 items" and out[2].text == f"12 {new} 345"
+    assert out[3].text.startswith(new) and out[3].kinds.ip == 1 and out[4].text.startswith(new) and out[4].kinds.date == 1
+    assert out[5].text == f"{new} {new}" and out[5].kinds.card == 2 and out[6].text == f"nr {new} 2nd"
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:00:00Z", out[7].text) and re.fullmatch(r"am \d\d\.\d\d\.\d{4}\.", out[8].text)
+    assert int(re.fullmatch(r"on (\d\d)/\d\d/\d{4}", out[9].text)[1]) <= 12 < int(re.fullmatch(r"on (\d\d)/\d\d/\d{4}", out[10].text)[1])
+    assert all(out[i].kinds.date == 1 and out[i].text != texts[i] for i in range(7, 12))
+    assert out[12].kinds.phone == 1 and out[13].kinds.phone == 2 and "123-4567" not in out[12].text + out[13].text
+    assert out[14].text == texts[14] and out[14].n_values == 0
+    days = [f"{d:02}/{m:02}/{y}" for y in (1800, 1900, 2000, 2199) for m in range(1, 13) for d in range(13, 29)]
+    got = [r.text for r in pseudonyms.pseudonymize(frame(spark, list(enumerate(days))), "secret").collect()]
+    assert len(set(got)) == len(days) and all(int(g[:2]) > 12 and datetime.date(int(g[6:]), int(g[3:5]), int(g[:2])) for g in got)

@@ -10,12 +10,16 @@ kind      validation                               ranges
 ========  =======================================  =====================================================
 card      13 to 19 digits, Luhn                    10**u x 10**v over all but the check digit, then the new one
 ssn       area, group and serial in use            (898 * 99) x 9999
-date      a day of 1800 to 2199, year first        189 x 773: the 146,097 days of a Gregorian cycle
+date      a day of 1800 to 2199, in any order      189 x 773: the 146,097 days of a Gregorian cycle
 phone     + country code, 7 to 12 digits           10**u x 10**v over the digits after the country code
 ip        four numbers up to 255                   65536 x 65536
 email     local part and domain                    2**32 x 2**32 over a digest; the domain stays
 ========  =======================================  =====================================================
 
+A card may stand beside other numbers: valid ones in the usual groups are taken first, then the longest valid run from the
+first number on.  Dates with the year last put the month first after a slash where that is a month; days over 12 there are
+permuted among themselves (9 x 9833), so that different dates stay different.  Phones are known by + or as 3-3-4 digits.
+
 Text without a digit or @ is passed through untouched; others are split at the values and joined with the pseudonyms in
 their places, in one linear pass.
 
@@ -32,14 +36,28 @@ ROUNDS = 10
 KINDS = ("card", "ssn", "date", "phone", "ip", "email")
 
 _EDGE, _END = r"(?<![\w.+\-@/])", r"(?![\w@])"
+_IP = r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)"
+_SSN = r"\d{3}-\d{2}-\d{4}(?![\w\-@])"
+_TIME = r"(?:(?![\w\-/@])|(?=[Tt]\d{2}:?\d{2}))"
+_DATE = r"\d{4}(?:-\d{2}-\d{2}|/\d{2}/\d{2})" + _TIME
+_DAY = r"\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/|-\d{1,2}-)\d{4}(?![\w\-/@]|\.\d)"
+_NATIONAL = r"(?:\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4})(?![\w\-@]|\.\d)"
+_OTHER = "|".join((_IP, _SSN, _DATE, _DAY, _NATIONAL))
+#: Groups of digits that may hold cards; a value of another format ends them.
+_RUN = r"(?=\d(?:[ \-]?\d){12})\d+(?:(?:-| (?!" + _OTHER + r"))\d+)*" + _END
 PATTERN = "|".join((
     r"(?<![\p{L}\p{N}_.%+\-])[\p{L}\p{N}_.%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
-    _EDGE + r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)",
+    _EDGE + _IP,
     r"(?<![\w+])\+\d{1,3}[ \-]?\(?\d{2,4}\)?(?:[ \-]?\d{2,4}){1,3}" + _END,
-    _EDGE + r"\d{3}-\d{2}-\d{4}(?![\w\-@])",
-    _EDGE + r"\d{4}([\-/])\d{2}\1\d{2}(?![\w\-/@])",
-    _EDGE + r"\d(?:[ \-]?\d){12,18}" + _END,
+    _EDGE + _SSN,
+    _EDGE + _DATE,
+    _EDGE + _DAY,
+    _EDGE + _NATIONAL,
+    _EDGE + _RUN,
 ))
+_IS_DAY, _IS_NATIONAL = r"^\d{1,2}([./\-])\d{1,2}\1\d{4}$", r"^(\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}([.\-])\d{3}\2\d{4})$"
+#: The usual groups of a card: unbroken, 4-4-4-4 (and up to 3 more), 4-6-5, 4-6-4.
+_GROUPED = r"^(\d{13,19}|\d{4}([ \-])\d{4}\2\d{4}\2\d{4}(\2\d{1,3})?|\d{4}([ \-])\d{6}\4\d{4,5})$"
 
 
 def feistel(x: Column, y: Column, a: Column, b: Column, kind: str, key: str) -> tuple[Column, Column]:
@@ -104,13 +122,99 @@ def _kind(value: Column) -> Column:
     return (
         F.when(F.contains(value, F.lit("@")), F.lit("email"))
         .when(F.startswith(value, F.lit("+")), F.when(F.length(_digits(_after_code(value))).between(7, 12), F.lit("phone")))
+        .when(F.regexp_like(value, F.lit(_IS_NATIONAL)), F.lit("phone"))
+        .when(F.regexp_like(value, F.lit(_IS_DAY)), F.when(F.year(_day(value)).between(1800, 2199), F.lit("date")))
         .when(F.contains(value, F.lit(".")), F.when(octets, F.lit("ip")))
         .when(F.regexp_like(value, F.lit(r"^\d{3}-\d{2}-\d{4}$")), F.when(valid_ssn, F.lit("ssn")))
         .when(F.regexp_like(value, F.lit(r"^\d{4}[-/]\d{2}[-/]\d{2}$")), F.when(day.isNotNull() & F.year(day).between(1800, 2199), F.lit("date")))
-        .when(luhn(digits) == 0, F.lit("card"))
+        .when(F.length(digits).between(13, 19) & (luhn(digits) == 0), F.lit("card"))
     )
 
 
+def _month_first(value: Column) -> Column:
+    """Slashes put the month first wherever that is a month."""
+    return F.contains(value, F.lit("/")) & (F.split(value, "/")[0].try_cast("int") <= 12)
+
+
+def _day(value: Column) -> Column:
+    """The date of a value with the year last, null if there is none."""
+    part = lambda k: F.lpad(F.try_element_at(F.split(value, r"[./\-]"), F.lit(k)), 2, "0")
+    month, day = F.when(_month_first(value), part(1)).otherwise(part(2)), F.when(_month_first(value), part(2)).otherwise(part(1))
+    return F.try_to_timestamp(F.concat_ws("-", F.substring(value, -4, 4), month, day), F.lit("yyyy-MM-dd")).cast("date")
+
+
+def _new_day(value: Column, key: str) -> Column:
+    """Year-last dates: all days of a Gregorian cycle, or, after a slash-date whose day can't be a month, the 9 x 9833 such days."""
+    first = F.lit("1800-01-01").cast("date")
+
+    def any_day(rank: Column) -> Column:
+        x, y = feistel(F.floor(rank / 773), rank % 773, F.lit(189), F.lit(773), "date", key)
+        return F.date_add(first, (x * 773 + y).cast("int"))
+
+    def late_day(late: Column) -> Column:
+        x, y = feistel(F.floor(late / 9833), late % 9833, F.lit(9), F.lit(9833), "day", key)
+        return _let((x * 9833 + y).cast("int"), at_place)
+
+    def at_place(place: Column) -> Column:
+        before = lambda k: F.datediff(F.add_months(first, k), first) - 12 * k
+        near = F.floor(place * F.lit(4800.0) / 88497).cast("int")
+        months = F.filter(F.sequence(F.greatest(near - 2, F.lit(0)), F.least(near + 2, F.lit(4799))), lambda k: before(k) <= place)
+        return _let(F.array_max(months), lambda month: F.date_add(F.add_months(first, month), place - before(month) + 12))
+
+    def moved(old: Column) -> Column:
+        rank = F.datediff(old, first).cast("long")
+        late = rank - 12 * ((F.year(old) - 1800) * 12 + F.month(old))
+        return F.when(F.contains(value, F.lit("/")) & ~_month_first(value), _let(late, late_day)).otherwise(_let(rank, any_day))
+
+    def written(new: Column) -> Column:
+        mark = F.regexp_extract(value, r"[./\-]", 0)
+        short = F.regexp_like(value, F.lit(r"^\d[./\-]|[./\-]\d[./\-]"))
+        text = lambda n: F.when(short, n.cast("string")).otherwise(_padded(n, 2))
+        a, b = F.month(new), F.dayofmonth(new)
+        head = F.when(_month_first(value), F.concat(text(a), mark, text(b))).otherwise(F.concat(text(b), mark, text(a)))
+        return F.concat(head, mark, _padded(F.year(new), 4))
+
+    return _let(_let(_day(value), moved), written)
+
+
+def _let(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _is_run(value: Column) -> Column:
+    return F.regexp_like(value, F.lit(r"^\d[\d \-]*$")) & (F.length(_digits(value)) >= 13)
+
+
+def _parts(value: Column) -> Column:
+    """A run of digit groups -> its pieces in order as (value, kind): cards, and what is between them.
+
+    Valid cards in the usual groups come first, from the left; then the longest valid run of whole groups, however
+    they are grouped, from the first group on, if it meets none of those.
+    """
+
+    def of(groups: Column) -> Column:
+        bare = lambda i, k: F.regexp_replace(F.array_join(F.slice(groups, i + 1, k), ""), r"[ \-]$", "")
+        size = lambda i: F.least(F.size(groups) - i, F.when(i == 0, 19).otherwise(5))
+        windows = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.transform(F.sequence(F.lit(1), size(i)), lambda k: F.struct(i.alias("i"), k.alias("k"), bare(i, k).alias("v")))))
+        ranked = F.transform(F.filter(windows, lambda w: F.length(_digits(w["v"])).between(13, 19)), lambda w: F.struct(F.when(F.regexp_like(w["v"], F.lit(_GROUPED)), 0).otherwise(1).alias("rank"), w["i"].alias("i"), w["k"].alias("k"), w["v"].alias("v")))
+        valid = F.filter(ranked, lambda w: ((w["rank"] == 0) | (w["i"] == 0)) & (luhn(_digits(w["v"])) == 0))
+        order = F.array_sort(F.transform(valid, lambda w: F.struct(w["rank"].alias("rank"), w["i"].alias("i"), F.when(w["rank"] == 0, w["k"]).otherwise(-w["k"]).alias("by"), w["k"].alias("k"), w["v"].alias("v"))))
+        chosen = F.aggregate(order, F.array().cast("array<struct<rank:int,i:int,by:int,k:int,v:string>>"), lambda had, w: F.when(F.exists(had, lambda h: (h["i"] < w["i"] + w["k"]) & (w["i"] < h["i"] + h["k"])), had).otherwise(F.concat(had, F.array(w))))
+        return _let(chosen, lambda cards: F.flatten(F.transform(groups, lambda g, i: pieces(cards, g, i))))
+
+    def pieces(cards: Column, g: Column, i: Column) -> Column:
+        piece = lambda v, kind: F.struct(v.alias("value"), F.lit(kind).cast("string").alias("kind"))
+        card = F.transform(F.filter(cards, lambda c: c["i"] == i), lambda c: piece(c["v"], "card"))
+        blank = piece(F.regexp_extract(g, r"[ \-]?$", 0), None)
+        # A card stands at its first group, the blank after it at its last.
+        last = F.exists(cards, lambda c: c["i"] + c["k"] - 1 == i)
+        inside = F.exists(cards, lambda c: (c["i"] <= i) & (i < c["i"] + c["k"]))
+        return F.when(inside, F.concat(card, F.when(last, F.array(blank)).otherwise(F.slice(F.array(blank), 1, 0)))).otherwise(F.array(piece(g, None)))
+
+    return _let(F.regexp_extract_all(value, F.lit(r"\d+[ \-]?"), F.lit(0)), of)
+
+
 def _after_code(value: Column) -> Column:
     return F.regexp_replace(value, r"^\+\d{1,3}", "")
 
@@ -133,6 +237,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     day = F.datediff(F.try_to_timestamp(F.translate(value, "/", "-"), F.lit("yyyy-MM-dd")).cast("date"), first).cast("long")
     x, y = feistel(F.floor(day / 773), day % 773, F.lit(189), F.lit(773), "date", key)
     date = _in_mask(value, F.date_format(F.date_add(first, (x * 773 + y).cast("int")), "yyyyMMdd"))
+    date = F.when(F.regexp_like(value, F.lit(_IS_DAY)), _new_day(value, key)).otherwise(date)
     rest = _after_code(value)
     phone = F.concat(_code(value), _in_mask(rest, _permuted(_digits(rest), "phone", key)))
     octet = lambda k: F.try_element_at(F.split(value, r"\."), F.lit(k)).try_cast("long")
@@ -154,12 +259,13 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     text = F.col(column)
     suspect = F.regexp_like(text, F.lit("[0-9@]"))
     values = F.when(suspect, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    found = F.transform(values, lambda v: F.struct(v.alias("value"), _kind(v).alias("kind")))
+    found = F.transform(values, lambda v: F.when(_is_run(v), _parts(v)).otherwise(F.array(F.struct(v.alias("value"), _kind(v).alias("kind")))))
     at = docs.withColumn("_found", found)
     pieces = F.split(text, PATTERN, -1)
-    new = F.transform(F.col("_found"), lambda f: F.when(f["kind"].isNull(), f["value"]).otherwise(pseudonym(f["value"], f["kind"], key)))
+    written = lambda f: F.when(f["kind"].isNull(), f["value"]).otherwise(pseudonym(f["value"], f["kind"], key))
+    new = F.transform(F.col("_found"), lambda parts: F.array_join(F.transform(parts, written), ""))
     joined = F.array_join(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
-    count = lambda kind: F.size(F.filter(F.coalesce(F.col("_found"), F.array().cast("array<struct<value:string,kind:string>>")), lambda f: f["kind"] == kind))
+    count = lambda kind: F.size(F.filter(F.coalesce(F.flatten("_found"), F.array().cast("array<struct<value:string,kind:string>>")), lambda f: f["kind"] == kind))
     kinds = F.struct(*[count(k).alias(k) for k in KINDS])
     out = at.withColumn(column, F.when(F.size("_found") > 0, joined).otherwise(text)).withColumn("kinds", kinds)
     return out.withColumn("n_values", sum((F.col("kinds")[k] for k in KINDS), F.lit(0)).cast("long")).drop("_found")
