@@ -449,3 +449,22 @@ def test_neighbours_of_values(spark):
     days = [f"{d:02}/{m:02}/{y}" for y in (1800, 1900, 2000, 2199) for m in range(1, 13) for d in range(13, 29)]
     got = [r.text for r in pseudonyms.pseudonymize(frame(spark, list(enumerate(days))), "secret").collect()]
     assert len(set(got)) == len(days) and all(int(g[:2]) > 12 and datetime.date(int(g[6:]), int(g[3:5]), int(g[:2])) for g in got)
+
+
+def test_passages_in_periodic_text(spark):
+    """Texts that repeat themselves at once are tied place by place."""
+    rnd = random.Random(4)
+    say = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    for period in (1, 2, 5):
+        rule = (["==", "--", "**", "++", "~~"][:period] * 100)[:90]
+        rows = [(k, " ".join(say(30) + rule + say(30))) for k in range(3)] + [(3, " ".join(say(100)))]
+        got = passages.repeated(frame(spark, rows)).collect()
+        assert {(r.doc_id, r.other_id) for r in got} == {(1, 0), (2, 0)} and all(88 <= r.n_words <= 92 for r in got)
+
+
+def test_passages_over_blocks(spark):
+    """Long repeats cross block edges; a doc_id with two texts is compared with each."""
+    words = [f"w{k}" for k in range(3 * passages.BLOCK)]
+    rows = [(1, " ".join(words)), (2, "x y " + " ".join(words[100:700])), (3, "only this"), (3, " ".join(words[:300]))]
+    got = {(r.doc_id, r.other_id, r.start_word, r.n_words, r.other_start, r.n_agree) for r in passages.repeated(frame(spark, rows)).collect()}
+    assert got == {(2, 1, 2, 600, 100, 600), (3, 1, 0, 300, 0, 300)}
