@@ -107,6 +107,6 @@ def test_json(spark):
 
 def test_notices(spark):
     f = one(spark, f=notices.parse_fields(F.lit("STATE : a : b\nnothing\n"))).f
-    assert [(x.title, x.value, x.short) for x in f] == [("STATE", "a", True), ("nothing", None, True)]
-    r = one(spark, a=notices.progress(F.lit("0"), F.lit("6")), b=notices.progress(F.lit("x"), F.lit("6")), c=notices.progress(lit(None), F.lit("6")), on=notices.wanted(F.lit("fail"), F.create_map(F.lit("fail"), F.lit("0"))), grey=names.color(lit(None)))
-    assert (r.a, r.b, r.c, r.on, r.grey) == ("TASK : 1/6", "TASK : unknown", "TASK : unknown", False, "#808080")
+    assert [(x.title, x.value, x.short) for x in f] == [("STATE", "a", True), ("nothing", None, True), (None, None, True)]
+    r = one(spark, a=notices.progress(F.lit("0"), F.lit("6")), b=notices.progress(F.lit("x"), F.lit("6")), c=notices.progress(lit(None), F.lit("6")), on=notices.wanted("fail_fast", F.create_map(F.lit("SLACK_NOTIFY_ON_FAIL"), F.lit("0"))), grey=names.color(lit(None)))
+    assert (r.a, r.b, r.c, r.on, r.grey) == ("TASK : 1/6", "TASK : unknown/6", "TASK : unknown/6", False, "#808080")

@@ -95,11 +95,11 @@ def test_catalog(spark):
 def test_lifecycle(spark):
     outputs = spark.createDataFrame([("0008_20260103_a",)], "exp_name string")
     owners = spark.createDataFrame([("/work/g1", "g1")], "prefix string, owner string")
-    made = lifecycle.create(names(spark), "my run/1", "20260201", "/work/g1/p", owners, "#SBATCH --time=02:00:00 {{EXP_NAME}} {{OWNER}} {{SCALE}} {{MARGIN}}").collect()
-    assert made[0].dst == "experiments/0011_20260201_my_run_1" and "g1 medium 72" in made[1].detail
-    assert [r.detail for r in lifecycle.create(names(spark, ["0011_20260201_a"]).filter("exp_name <> '0011_20260201_a'"), "a", "20260201", "/x", owners, "").collect()][0] is None
+    made = lifecycle.create(names(spark), "my run/1", "20260201", "/work/g1/p", owners, "#SBATCH --time=02:00:00 __EXP_NAME__ __PARTITION__ __SIGNAL_MARGIN__").collect()
+    assert made[0].dst == "experiments/0011_20260201_my_run_1" and "my_run_1 medium-g1 72" in made[2].detail
+    assert [r.detail for r in lifecycle.create(names(spark), "a", "20260201", "/x", owners, "").collect()] == ["UNKNOWN_OWNER"]
     again = lifecycle.resume(names(spark), "10", "20260201").collect()
-    assert again[0].dst == "experiments/0011_20260201_b_resumed"
+    assert again[1].dst == "experiments/0011_20260201_b_resumed"
     failed = {(r.action, r.dst) for r in lifecycle.mark_failed(names(spark), outputs, "8", "no disk", "20260201", "2026-02-01 00:00:00").collect()}
     assert ("move", "outputs/0008_20260103_a_FAILED_20260201_no_disk") in failed
     assert lifecycle.mark_failed(names(spark), outputs, "2", "x", "20260201", "").count() == 0
@@ -151,4 +151,4 @@ def test_job_from_start_to_end(spark):
     records = {r.job_dir: r.record for r in running.started(ready).collect()}
     assert records["9_1"]["array_task_id"] == "1" and "array_task_id" not in records["12"] and records["12"]["status"] == "RUNNING"
     ended = running.finished(spark.createDataFrame([("a", "9_1", "10", "RUNNING", "0", 1)], "exp_name string, job_dir string, job_id string, state string, code string, line int")).first()
-    assert ended.status == "COMPLETED" and "Job completed" in ended.payload
+    assert ended.status == "COMPLETED" and "FINISHED" in ended.payload

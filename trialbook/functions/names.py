@@ -108,9 +108,9 @@ def fallback(first: Column, second: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), second)
 
 
-def job_directory(array_job: Column, task: Column, job: Column) -> Column:
-    """``{array job}_{task}`` for array tasks, else the job's id."""
-    return F.when(F.nullif(task, F.lit("")).isNotNull(), F.concat_ws("_", array_job, task)).otherwise(job)
+def job_directory(mode: Column, array_job: Column, task: Column, job: Column) -> Column:
+    """``{array job}_{task}`` in array mode, else the job's id."""
+    return F.when(mode == "array", F.concat(array_job, F.lit("_"), task)).otherwise(job)
 
 
 def job_of_log(file: Column) -> Column:

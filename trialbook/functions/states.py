@@ -11,32 +11,38 @@ _ALIVE = ("COMPLETED", "RUNNING", "COMPLETING", "CONFIGURING")
 
 
 def final_state(state: Column, code: Column, line: Column) -> Column:
-    """struct(status, fail_reason, scheduler_state, notification, bad_code) from the scheduler's state, the exit code as
+    """struct(status, fail_reason, scheduler_state, notification, shown, bad_code) from the scheduler's state, the exit code as
     text or number, and the line of a script error.  The first rule that matches decides; an unreadable code
-    counts as a failure and sets ``bad_code``."""
+    counts as a failure and sets ``bad_code``.  ``shown`` is the STATE that a failure's notification tells."""
     n = code.try_cast("int")
     said = F.coalesce(state, F.lit(""))
-    shown = F.coalesce(code.cast("string"), F.lit(""))
+    code_text = F.coalesce(code.cast("string"), F.lit(""))
+    line_text = F.coalesce(line.cast("string"), F.lit("unknown"))
     ok = F.coalesce(n == 0, F.lit(False))
     unknown = said.isin("UNKNOWN", "")
     alive = said.isin(*_ALIVE)
 
-    def row(status: str, reason: Column | None, note: str, extra: str | None = None) -> Column:
-        reason = F.lit(None).cast("string") if reason is None else reason
-        return F.struct(F.lit(status).alias("status"), reason.alias("fail_reason"), F.lit(extra).cast("string").alias("scheduler_state"), F.lit(note).alias("notification"), n.isNull().alias("bad_code"))
-
-    nonzero = F.concat(F.lit("NONZERO_EXIT_"), shown)
-    script = F.concat(F.lit("SCRIPT_ERROR_LINE_"), F.coalesce(line.cast("string"), F.lit("")), F.lit("_CODE_"), shown)
+    def row(status: str, reason: Column | None, note: str, shown: Column | None = None, extra: str | None = None) -> Column:
+        nothing = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(status).alias("status"), (nothing if reason is None else reason).alias("fail_reason"), F.lit(extra).cast("string").alias("scheduler_state"),
+            F.lit(note).alias("notification"), (nothing if shown is None else shown).alias("shown"), n.isNull().alias("bad_code"),
+        )
+
+    nonzero = F.concat(F.lit("NONZERO_EXIT_"), code_text)
+    told = lambda more: F.concat(F.lit("NONZERO_EXIT (code "), code_text, F.lit(more + ")"))
+    script = F.concat(F.lit("SCRIPT_ERROR_LINE_"), line_text, F.lit("_CODE_"), code_text)
+    script_told = F.concat(F.lit("SCRIPT_ERROR (line "), line_text, F.lit(", code "), code_text, F.lit(", state "), said, F.lit(")"))
     return (
-        F.when(said == "TIMEOUT", row("TIMEOUT", F.lit("SLURM_TIMEOUT"), "fail"))
-        .when(said == "OUT_OF_MEMORY", row("OUT_OF_MEMORY", F.lit("OUT_OF_MEMORY"), "fail"))
-        .when(F.startswith(said, F.lit("CANCELLED")), row("CANCELLED", F.lit("CANCELLED"), "fail_fast"))
-        .when(said == "NODE_FAIL", row("NODE_FAIL", F.lit("NODE_FAIL"), "fail"))
+        F.when(said == "TIMEOUT", row("TIMEOUT", F.lit("SLURM_TIMEOUT"), "fail", F.lit("TIMEOUT")))
+        .when(said == "OUT_OF_MEMORY", row("OUT_OF_MEMORY", F.lit("OUT_OF_MEMORY"), "fail", F.lit("OUT_OF_MEMORY")))
+        .when(F.startswith(said, F.lit("CANCELLED")), row("CANCELLED", F.lit("CANCELLED"), "fail_fast", F.lit("CANCELLED")))
+        .when(said == "NODE_FAIL", row("NODE_FAIL", F.lit("NODE_FAIL"), "fail", F.lit("NODE_FAIL")))
         .when(alive & ok, row("COMPLETED", None, "finish"))
-        .when(alive, row("FAILED", nonzero, "fail"))
-        .when(unknown & ok, row("COMPLETED", None, "finish", "UNKNOWN"))
-        .when(unknown, row("FAILED", F.concat(nonzero, F.lit("_SCHEDULER_STATE_UNKNOWN")), "fail", "UNKNOWN"))
-        .otherwise(row("FAILED", script, "fail"))
+        .when(alive, row("FAILED", nonzero, "fail", told("")))
+        .when(unknown & ok, row("COMPLETED", None, "finish", None, "UNKNOWN"))
+        .when(unknown, row("FAILED", F.concat(nonzero, F.lit("_SCHEDULER_STATE_UNKNOWN")), "fail", told("; scheduler state unknown"), "UNKNOWN"))
+        .otherwise(row("FAILED", script, "fail", script_told))
     )
 
 
@@ -96,19 +102,25 @@ def leaves_record(reason: Column) -> Column:
 
 
 def job_environment(env: Column) -> Column:
-    """struct(scheduler, job_id, array_job_id, task_id, partition, node) from a map of environment variables; PBS comes before Slurm, then local."""
+    """struct(scheduler, job_id, array_job_id, task_id, partition, node) from a map of environment variables; PBS comes before Slurm, then local.
+
+    Array ids are empty outside arrays.  A PBS id keeps its index (``12[3]``) but for the array's own id.  A local
+    job's id is its process (variable ``PID``).
+    """
     get = lambda k: F.nullif(F.try_element_at(env, F.lit(k)), F.lit(""))
-    pbs, slurm = get("PBS_JOBID"), get("SLURM_JOB_ID")
+    known = lambda c: F.coalesce(c, F.lit("unknown"))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    pbs, slurm, index, host = get("PBS_JOBID"), get("SLURM_JOB_ID"), get("PBS_ARRAY_INDEX"), known(get("HOSTNAME"))
     short = F.substring_index(pbs, ".", 1)
     kinds = F.when(pbs.isNotNull(), "pbs").when(slurm.isNotNull(), "slurm").otherwise("local")
     pick = lambda a, b, c: F.when(pbs.isNotNull(), a).when(slurm.isNotNull(), b).otherwise(c)
     return F.struct(
         kinds.alias("scheduler"),
-        pick(F.substring_index(short, "[", 1), slurm, F.lit("local")).alias("job_id"),
-        pick(F.substring_index(short, "[", 1), F.coalesce(get("SLURM_ARRAY_JOB_ID"), slurm), F.lit("local")).alias("array_job_id"),
-        pick(get("PBS_ARRAY_INDEX"), get("SLURM_ARRAY_TASK_ID"), F.lit(None).cast("string")).alias("task_id"),
-        pick(get("PBS_QUEUE"), get("SLURM_JOB_PARTITION"), F.lit("local")).alias("partition"),
-        pick(F.coalesce(get("PBS_NODE"), get("HOSTNAME")), F.coalesce(get("SLURMD_NODENAME"), get("SLURM_NODELIST")), F.coalesce(get("HOSTNAME"), F.lit("localhost"))).alias("node"),
+        pick(short, slurm, F.coalesce(get("PID"), F.lit("local"))).alias("job_id"),
+        pick(F.when(index.isNotNull(), F.substring_index(short, "[", 1)).otherwise(""), empty(get("SLURM_ARRAY_JOB_ID")), F.lit("")).alias("array_job_id"),
+        pick(empty(index), empty(get("SLURM_ARRAY_TASK_ID")), F.lit("")).alias("task_id"),
+        pick(known(get("PBS_QUEUE")), known(get("SLURM_JOB_PARTITION")), F.lit("local")).alias("partition"),
+        pick(host, known(get("SLURMD_NODENAME")), host).alias("node"),
     )
 
 

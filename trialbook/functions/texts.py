@@ -18,7 +18,7 @@ def time_option(template: Column) -> Column:
 
 def array_bound(script: Column) -> Column:
     """Upper bound of an active ``#SBATCH --array=a-N``; a throttle is ignored, a list does not match."""
-    return F.regexp_extract(script, r"(?m)^#SBATCH\s+--array=\d+-(\d+)", 1).try_cast("long")
+    return F.regexp_extract(script, r"(?m)^\s*#SBATCH\s+--array=\d+-(\d+)", 1).try_cast("long")
 
 
 def active_lines(script: Column) -> Column:
@@ -27,13 +27,14 @@ def active_lines(script: Column) -> Column:
 
 
 def last_assignment(script: Column, name: str, default: str) -> Column:
-    found = F.regexp_extract_all(script, F.lit(rf"""(?m)^\s*(?:export\s+)?{name}=["']?([^"'\s#]*)"""), F.lit(1))
-    return F.coalesce(F.nullif(F.try_element_at(found, F.lit(-1)), F.lit("")), F.lit(default))
+    """The word that is assigned last, quoted or not, blanks around the sign allowed."""
+    found = F.regexp_extract_all(script, F.lit(rf"""{name}\s*=\s*["']?(\w+)["']?"""), F.lit(1))
+    return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(default))
 
 
 def first_list(script: Column, name: str) -> Column:
     """The body of the first ``NAME=( ... )``, up to the first closing bracket; null without one."""
-    return F.nullif(F.regexp_extract(script, rf"(?s){name}=\((.*?)\)", 1), F.lit(""))
+    return F.try_element_at(F.regexp_extract_all(script, F.lit(rf"(?s){name}=\((.*?)\)"), F.lit(1)), F.lit(1))
 
 
 def list_items(body: Column) -> Column:
@@ -66,7 +67,9 @@ def yaml_map(text: Column) -> Column:
     The last of equal keys holds; null or empty text is an empty map."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][A-Za-z0-9_]*:(\s|$)"))
     pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), unquoted(F.regexp_replace(F.regexp_replace(x, r"^[^:]*:\s*", ""), r"\s+#.*$", "")).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+    # The pairs are worked out once, and only then compared.
+    keep = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.greatest(F.size(ps) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
+    last = F.transform(F.array(pairs), keep)[0]
     return F.transform_values(F.map_from_entries(last), lambda _, v: F.when(~v.isin("null", "~", ""), v))
 
 
@@ -88,6 +91,17 @@ def substitute(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def first_in_line(text: Column, mark: str, value: Column) -> Column:
+    """The mark's first occurrence in each line replaced, as it is."""
+    safe = F.regexp_replace(value, r"([\\$])", r"\\$1")
+    return F.regexp_replace(text, F.lit(rf"(?m)^(.*?){mark}"), F.concat(F.lit("$1"), safe))
+
+
+def flat_yaml(values: dict[str, Column]) -> Column:
+    """``key: value`` lines; a null value is written as null."""
+    return F.concat(*[x for k, v in values.items() for x in (F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit("null")), F.lit("\n"))])
+
+
 def rename_in(text: Column, old: Column, new: Column) -> Column:
     """Every occurrence of the old name, read literally."""
     return F.replace(text, old, new)

@@ -52,10 +52,18 @@ def accounting(rows: DataFrame, job: str) -> DataFrame:
 
 
 def owners(paths: DataFrame, table: DataFrame, path: str = "path") -> DataFrame:
-    """Paths with the owner whose prefix they have, the longest one if several; null without any."""
-    hit = paths.join(F.broadcast(table), F.startswith(F.col(path), table.prefix), "left")
-    kept = [c for c in paths.columns]
-    return hit.groupBy(*kept).agg(F.max_by("owner", F.length("prefix")).alias("owner"))
+    """Paths with the owner whose prefix they have, the longest one if several (the least owner if a prefix has several); null without any.
+
+    An equi-join for each length that a prefix has; every row of ``paths`` stays one row.
+    """
+    by_prefix = table.filter("prefix is not null").groupBy("prefix").agg(F.min("owner").alias("_owner"))
+    lengths = [r["n"] for r in by_prefix.select(F.length("prefix").alias("n")).distinct().orderBy(F.desc("n")).collect()]  # no more than a path has letters
+    out, found = paths, F.lit(None).cast("string")
+    for k, n in enumerate(lengths):
+        here = by_prefix.filter(F.length("prefix") == n).select(F.col("prefix").alias(f"_prefix{k}"), F.col("_owner").alias(f"_owner{k}"))
+        out = out.join(here, F.substring(F.col(path), 1, n) == F.col(f"_prefix{k}"), "left")
+        found = F.coalesce(found, F.col(f"_owner{k}"))
+    return out.select(*[paths[c] for c in paths.columns], found.alias("owner"))
 
 
 def active_jobs(queue: DataFrame, user: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Grids above the first number are blocked, above the second warned about.
@@ -36,16 +36,21 @@ def expand(grids: DataFrame) -> DataFrame:
 
 
 def cross(tables: list[DataFrame], keys: list[list[str]]) -> DataFrame:
-    """Ordered product of small tables: ``idx`` counts with the first table slowest, each ordered by its keys."""
+    """Ordered product of small tables: ``idx`` counts with the first table slowest, each ordered by its keys.
 
-    def numbered(df: DataFrame, by: list[str], k: int) -> DataFrame:
-        whole = Window.partitionBy(F.lit(1))
-        return df.withColumn(f"_i{k}", (F.row_number().over(whole.orderBy(*by)) - 1).cast("long")).withColumn(f"_n{k}", F.count(F.lit(1)).over(whole))
-
-    parts = [numbered(df, by, k) for k, (df, by) in enumerate(zip(tables, keys, strict=True))]
-    out = reduce(lambda x, y: x.crossJoin(y), parts)
-    idx = reduce(lambda at, k: at * F.col(f"_n{k}") + F.col(f"_i{k}"), range(1, len(parts)), F.col("_i0"))
-    return out.withColumn("idx", idx.cast("long")).drop(*[f"_{c}{k}" for k in range(len(parts)) for c in "in"])
+    Each table becomes one sorted array; rows are made from the index alone, as in ``expand``.
+    """
+    spec = None
+    for k, (df, by) in enumerate(zip(tables, keys, strict=True)):
+        rest = [c for c in df.columns if c not in by]
+        one = df.agg(F.array_sort(F.collect_list(F.struct(*by, *rest))).alias(f"_t{k}"))
+        spec = one if spec is None else spec.crossJoin(one)  # a row on either side
+    sizes = [F.size(f"_t{k}").cast("long") for k in range(len(tables))]
+    total = reduce(lambda x, y: x * y, sizes)
+    out = spec.filter(total > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)).alias("idx"))
+    stride = lambda k: reduce(lambda x, y: x * y, sizes[k + 1 :], F.lit(1).cast("long"))
+    rows = [F.get(f"_t{k}", (F.floor(F.col("idx") / stride(k)) % sizes[k]).cast("int")) for k in range(len(tables))]
+    return out.select("idx", *[rows[k][c].alias(c) for k, df in enumerate(tables) for c in df.columns])
 
 
 def bind(tasks: DataFrame, configs: DataFrame, task: str = "task_id") -> DataFrame:

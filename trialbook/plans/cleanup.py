@@ -41,7 +41,21 @@ def tidied_logs(files: DataFrame) -> DataFrame:
 
 
 def scheduler_logs(runs: DataFrame, files: DataFrame) -> DataFrame:
-    """Scheduler output files (file) of finished runs -> planned moves into the job directory, the first match of each run."""
-    name = F.concat(F.col("exp_name"), F.lit(".o"), F.col("job_id"))
-    hit = runs.select("exp_name", "job_id", "job_dir", F.regexp_replace("job_id", r"_.*$", "").alias("_base")).join(files, F.startswith(F.col("file"), F.concat(F.col("exp_name"), F.lit(".o"), F.col("_base"))))
-    return hit.groupBy("exp_name", "job_id", "job_dir").agg(F.min("file").alias("src")).withColumn("dst", F.concat_ws("/", F.lit("logs"), "exp_name", "job_dir", F.lit("scheduler.out"))).withColumn("expected", F.startswith("src", name))
+    """(exp_name, scheduler, run_mode, job_id, array_job_id, task_id, job_dir) and output files (exp_name, file) -> planned moves (src, dst).
+
+    Slurm's file has the run's ids and experiment in its name.  PBS's files begin with the experiment, ``.o`` or ``.e``, and the
+    run's ids; the first by name that does is taken.
+    """
+    ids = F.when(F.col("run_mode") == "array", F.concat(F.col("array_job_id"), F.when(F.col("scheduler") == "pbs", "-").otherwise("_"), F.col("task_id"))).otherwise(F.col("job_id"))
+    at = runs.filter("scheduler in ('pbs', 'slurm')").select("exp_name", "job_dir", "scheduler", ids.alias("ids"))
+    slurm = at.filter("scheduler = 'slurm'").select("exp_name", "job_dir", F.concat("ids", F.lit("_"), "exp_name", F.lit(".out")).alias("file"), F.lit("slurm.out").alias("kind"))
+    slurm = slurm.join(files.select("exp_name", "file").distinct(), ["exp_name", "file"])
+    # What follows .o or .e in a file's name is short: all its beginnings meet the runs' ids.
+    tail = F.regexp_extract("file", r"\.[oe](\d[^/]*)$", 1)
+    own = files.filter((tail != "") & F.startswith("file", F.concat("exp_name", F.lit(".")))).select("exp_name", "file", F.regexp_extract("file", r"\.([oe])\d[^/]*$", 1).alias("stream"), tail.alias("_tail"))
+    own = own.filter(F.col("file") == F.concat_ws(".", "exp_name", F.concat("stream", "_tail")))
+    heads = own.select("exp_name", "file", "stream", F.explode(F.transform(F.sequence(F.lit(1), F.length("_tail")), lambda n: F.substring("_tail", F.lit(1), n))).alias("ids"))
+    pbs = at.filter("scheduler = 'pbs'").join(heads, ["exp_name", "ids"])
+    pbs = pbs.groupBy("exp_name", "job_dir", "stream").agg(F.min("file").alias("file")).select("exp_name", "job_dir", "file", F.when(F.col("stream") == "o", "slurm.out").otherwise("pbs.err").alias("kind"))
+    found = slurm.select("exp_name", "job_dir", "file", "kind").unionByName(pbs)
+    return found.select("exp_name", "job_dir", F.concat_ws("/", F.lit("logs"), "exp_name", "file").alias("src"), F.concat_ws("/", F.lit("logs"), "exp_name", "job_dir", "kind").alias("dst"))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import names, notices, texts, times
 from ..operators import catalog
 
-#: Files of an experiment that a resumed copy leaves behind.
-NOT_COPIED = ("metadata.yaml", "FAILED_REASON.txt", "uncommitted_changes.patch", "__pycache__")
+# What a resumed copy leaves behind, and the marks of templates.
+NOT_COPIED = ("FAILED_REASON.txt", "uncommitted_changes.diff", "metadata.yaml", "__pycache__/")
+SCRIPT_MARKS = ("__EXP_NAME__", "__PROJECT_ROOT__", "__PARTITION__", "__SIGNAL_MARGIN__")
+REVIEW_MARKS = ("<実験名>", "NNNN_YYYYMMDD_<name>")
 
 
 def _steps(plan: DataFrame, rows: list[tuple[str, Column, Column, Column]]) -> DataFrame:
@@ -28,39 +30,63 @@ def _checked(proposal: DataFrame, listing: DataFrame, rows: list[tuple[str, Colu
 
 
 
-def create(listing: DataFrame, label: str, date: str, path: str, owners: DataFrame, template: str, git: str = "git_not_available") -> DataFrame:
-    """A new experiment: id, name, owner, time limit's scale and warning margin, filled template, record."""
-    proposal = catalog.next_id(listing).withColumn("target", names.compose(F.col("next_id"), F.lit(date), names.sanitize(F.lit(label)))).withColumn("path", F.lit(path))
-    proposal = proposal.crossJoin(F.broadcast(catalog.owners(listing.sparkSession.createDataFrame([(path,)], "path string"), owners).select("owner")))
+def create(listing: DataFrame, label: str, date: str, root: str, owners: DataFrame, template: str, git: str = "git_not_available", diff: str = "") -> DataFrame:
+    """A new experiment: directories, filled run script, copied program and configuration, record, uncommitted diff, pointers.
+
+    A project root without an owner is an error row.
+    """
+    proposal = catalog.next_id(listing).withColumn("target", names.compose(F.col("next_id"), F.lit(date), names.sanitize(F.lit(label))))
+    proposal = catalog.owners(proposal.withColumn("path", F.lit(root)), owners)
     limit = texts.time_option(F.lit(template))
-    script = texts.substitute(F.lit(template), {"{{EXP_NAME}}": F.col("target"), "{{OWNER}}": F.coalesce("owner", F.lit("")), "{{SCALE}}": F.coalesce(times.scale(limit), F.lit("")), "{{MARGIN}}": F.coalesce(times.margin(limit).cast("string"), F.lit(""))})
-    record = F.to_json(F.struct(F.col("next_id").alias("exp_id"), F.col("target").alias("exp_name"), F.lit(date).alias("created_date"), F.lit(git).alias("git_commit")))
+    values = (F.col("target"), F.lit(root), F.concat_ws("-", times.scale(limit), "owner"), times.margin(limit).cast("string"))
+    script = texts.substitute(F.lit(template), {mark: F.coalesce(v, F.lit("")) for mark, v in zip(SCRIPT_MARKS, values, strict=True)})
+    record = texts.flat_yaml({"exp_id": F.col("next_id"), "exp_name": F.col("target"), "created_date": F.lit(date), "git_commit": F.lit(git)})
     nothing = F.lit(None)
-    return _checked(proposal, listing, [
+    place = lambda file: F.concat_ws("/", F.lit("experiments"), "target", F.lit(file))
+    known = _checked(proposal.filter("owner is not null"), listing, [
         ("mkdir", nothing, F.concat(F.lit("experiments/"), F.col("target")), nothing),
-        ("write", nothing, F.concat_ws("/", F.lit("experiments"), "target", F.lit("run_slurm.sh")), script),
-        ("write", nothing, F.concat_ws("/", F.lit("experiments"), "target", F.lit("metadata.yaml")), record),
-        ("link", F.col("target"), F.lit("experiments/latest"), nothing),
+        ("mkdir", nothing, F.concat(F.lit("outputs/"), F.col("target")), nothing),
+        ("write", nothing, place("run_slurm.sh"), script),
+        ("copy", F.lit("templates/experiment.py"), place("experiment.py"), nothing),
+        ("copy", F.lit("templates/config.yml"), place("config.yml"), nothing),
+        ("write", nothing, place("metadata.yaml"), record),
+        *([("write", nothing, place("uncommitted_changes.diff"), F.lit(diff))] if diff else []),
+        *_pointers(F.col("target")),
     ])
+    lost = proposal.filter("owner is null").select(F.lit(0).alias("step"), F.lit("error").alias("action"), F.lit(root).alias("src"), F.lit(None).cast("string").alias("dst"), F.lit("UNKNOWN_OWNER").alias("detail"))
+    return known.unionByName(lost)
+
+
+def _pointers(target: Column) -> list[tuple[str, Column, Column, Column]]:
+    """Both ``latest`` pointers."""
+    return [("link", F.concat(F.lit(f"{kind}/"), target), F.lit(f"{kind}/latest"), F.lit(None)) for kind in ("experiments", "outputs")]
 
 
-def resume(listing: DataFrame, selector: str, date: str, suffix: str | None = None, git: str = "git_not_available") -> DataFrame:
+def resume(listing: DataFrame, selector: str, date: str, suffix: str | None = None, git: str = "git_not_available", root: str = "") -> DataFrame:
     """A copy of an experiment under a new id, its dependency disabled and its lineage recorded."""
     source = catalog.select_one(listing, selector)
     label = names.resumed_label(F.col("exp_name"), F.lit(suffix))
-    proposal = source.crossJoin(F.broadcast(catalog.next_id(listing))).withColumn("target", names.compose(F.col("next_id"), F.lit(date), label))
-    record = F.to_json(F.struct(F.col("next_id").alias("exp_id"), F.col("target").alias("exp_name"), F.lit(date).alias("created_date"), F.lit(git).alias("git_commit"), F.col("exp_name").alias("resumed_from_exp"), F.concat(F.lit("outputs/"), F.col("exp_name")).alias("resume_checkpoint_dir")))
+    proposal = source.crossJoin(catalog.next_id(listing)).withColumn("target", names.compose(F.col("next_id"), F.lit(date), label))  # a row on either side
+    outputs = F.concat(F.lit(f"{root}/outputs/" if root else "outputs/"), F.col("exp_name"))
+    record = texts.flat_yaml({
+        "exp_id": F.col("next_id"), "exp_name": F.col("target"), "created_date": F.lit(date), "git_commit": F.lit(git),
+        "resumed_from_exp": F.col("exp_name"), "resume_checkpoint_dir": outputs, "resume_checkpoint_file": F.lit(None),
+    })
     return _checked(proposal, listing, [
+        ("mkdir", F.lit(None), F.concat(F.lit("outputs/"), F.col("target")), F.lit(None)),
         ("copy", F.concat(F.lit("experiments/"), F.col("exp_name")), F.concat(F.lit("experiments/"), F.col("target")), F.lit("without " + ", ".join(NOT_COPIED))),
         ("rewrite", F.col("exp_name"), F.col("target"), F.lit("run_slurm.sh, config.yml; dependency off")),
         ("write", F.lit(None), F.concat_ws("/", F.lit("experiments"), "target", F.lit("metadata.yaml")), record),
-        ("link", F.col("target"), F.lit("experiments/latest"), F.lit(None)),
+        *_pointers(F.col("target")),
     ])
 
 
 def copied_files(files: DataFrame) -> DataFrame:
-    """Files (file) that a resumed copy takes along."""
-    return files.filter(~F.col("file").isin(*NOT_COPIED))
+    """Files (file, a path below the experiment) that a resumed copy takes along: none of the names, nor what is in such a directory."""
+    parts = F.split("file", "/")
+    whole = F.exists(parts, lambda x: x.isin(*[n for n in NOT_COPIED if not n.endswith("/")]))
+    inside = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.isin(*[n[:-1] for n in NOT_COPIED if n.endswith("/")]))
+    return files.filter(~whole & ~inside)
 
 
 def rewritten(files: DataFrame, old: str, new: str) -> DataFrame:
@@ -72,12 +98,12 @@ def rewritten(files: DataFrame, old: str, new: str) -> DataFrame:
 def _moves(proposal: DataFrame, listing: DataFrame, outputs: DataFrame, more: list[tuple[str, Column, Column, Column]]) -> DataFrame:
     at = catalog.with_outputs(proposal, outputs.select("exp_name").distinct())
     newest = catalog.latest(listing).select(F.col("exp_name").alias("_latest"))
-    at = at.crossJoin(F.broadcast(newest))
+    at = at.crossJoin(newest)  # a row
     rows = [
         ("move", F.concat(F.lit("experiments/"), F.col("exp_name")), F.concat(F.lit("experiments/"), F.col("target")), F.lit(None)),
         ("move", F.when(F.col("has_outputs"), F.concat(F.lit("outputs/"), F.col("exp_name"))), F.when(F.col("has_outputs"), F.concat(F.lit("outputs/"), F.col("target"))), F.lit(None)),
         *more,
-        ("link", F.when(F.col("_latest") == F.col("exp_name"), F.col("target")), F.lit("experiments/latest"), F.lit(None)),
+        *[(a, F.when(F.col("_latest") == F.col("exp_name"), src), dst, detail) for a, src, dst, detail in _pointers(F.col("target"))],
     ]
     return _checked(at, listing, rows).filter("src is not null or action in ('write', 'error')")
 
@@ -86,7 +112,7 @@ def mark_failed(listing: DataFrame, outputs: DataFrame, selector: str, reason: s
     """The experiment and its outputs under a failure name; empty if it is marked already.  Logs stay where they are."""
     source = catalog.select_one(listing, selector).filter(~names.is_failed(F.col("exp_name")))
     proposal = source.withColumn("target", names.failed_name(F.col("exp_name"), F.lit(date), F.lit(reason)))
-    note = F.concat_ws("\n", F.concat(F.lit("failed_at: "), F.lit(at)), F.concat(F.lit("reason: "), F.lit(reason)), F.concat(F.lit("original_experiment: "), F.col("exp_name")))
+    note = texts.flat_yaml({"failed_at": F.lit(at), "reason": F.lit(reason), "original_experiment": F.col("exp_name")})
     return _moves(proposal, listing, outputs, [("write", F.lit(None), F.concat_ws("/", F.lit("experiments"), "target", F.lit("FAILED_REASON.txt")), note)])
 
 
@@ -112,15 +138,22 @@ def cancel_plan(jobs: DataFrame, tools: list[str]) -> DataFrame:
     return jobs.select("job_id", F.lit(tool).alias("tool"), F.concat_ws(" ", F.lit(tool), "job_id").alias("command"))
 
 
-def cancel_notice(runs: DataFrame, job: str) -> DataFrame:
+def cancel_notice(runs: DataFrame, job: str, reason: str = "user_request", user: str = "") -> DataFrame:
     """The notification of a cancelled job, with the experiment of its first run."""
     hit = runs.filter(names.matches_job(F.col("job_dir"), F.lit(job)))
-    first = hit.agg(F.coalesce(F.min_by("exp_name", F.struct("job_dir", "exp_name")), F.lit("unknown")).alias("exp"))
-    fields = notices.fields("fail_fast", {"EXP": F.col("exp"), "JOB": F.lit(job), "STATE": F.lit("CANCELLED")})
-    return first.select(notices.payload(F.lit("Job cancelled"), F.lit(job), fields).alias("payload"))
+    first = hit.agg(F.min_by("exp_name", F.struct("job_dir", "exp_name")).alias("exp"))
+    fields = notices.fields("fail_fast", {"EXP": F.col("exp"), "JOB": F.lit(job), "STATE": F.lit(f"USER_CANCEL (reason: {reason}, by: {user})")})
+    return first.select(notices.payload("fail_fast", F.lit(job), fields).alias("payload"))
+
+
+def reviewed(exps: DataFrame, template: Column) -> DataFrame:
+    """Experiments with their review document: of each line the first occurrence of each mark is filled."""
+    text = template
+    for mark in REVIEW_MARKS:
+        text = texts.first_in_line(text, mark, F.col("exp_name"))
+    return exps.withColumn("document", text)
 
 
 def review(listing: DataFrame, template: str, exp: str | None, name: str | None) -> DataFrame:
     """A review document of the experiment whose name holds the selector."""
-    found = catalog.select_one(listing, exp or name, loose=True)
-    return found.select("exp_name", texts.substitute(F.lit(template), {"{{EXP_NAME}}": F.col("exp_name"), "{{EXP_ID}}": F.coalesce(names.parts(F.col("exp_name"))["exp_id"], F.lit(""))}).alias("document"))
+    return reviewed(catalog.select_one(listing, exp or name, loose=True), F.lit(template))

@@ -23,16 +23,20 @@ def grid_counts(script: Column) -> tuple[Column, Column]:
 
 
 def grid_findings(scripts: DataFrame) -> DataFrame:
-    """(exp_name, run_slurm) -> findings; the first blocker of an experiment decides, a warning may stand before it."""
+    """(exp_name, run_slurm) -> findings; the first blocker of an experiment decides, a warning may stand before it.
+
+    Array mode needs an active array directive, whether the configurations come from a grid or are listed; its end is
+    compared where there is a grid to count.
+    """
     text = F.col("run_slurm")
     n, lint = grid_counts(text)
     at = scripts.filter("run_slurm is not null").select(
-        "exp_name", F.coalesce(n, F.lit(1).cast("long")).alias("n"), F.coalesce(lint, F.lit(1).cast("long")).alias("lint_count"),
-        texts.active_lines(text).rlike(r"(?m)^\s*GRID_ARGS=\(").alias("has_grid"),
+        "exp_name", n.alias("n"), lint.alias("lint_count"),
+        texts.active_lines(text).rlike(r"GRID_ARGS\s*=\s*\(").alias("has_grid"),
         texts.last_assignment(texts.active_lines(text), "RUN_MODE", "single").alias("mode"),
         texts.array_bound(text).alias("bound"),
     )
-    array = F.col("has_grid") & (F.col("mode") == "array")
+    array = F.col("mode") == "array"
     blocker = (
         F.when(F.col("n") > BLOCK_ABOVE, F.format_string("grid has %d combinations, more than %d", F.col("n"), F.lit(BLOCK_ABOVE)))
         .when(F.col("has_grid") & ~F.col("mode").isin("array", "seq"), F.concat(F.lit("grid with run mode "), F.col("mode")))

@@ -34,9 +34,9 @@ class RunState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, seq = self.last.get() if self.last.exists() else (None, -1)
         for pdf in rows:
-            for new, at in zip(pdf["status"], pdf["seq"], strict=True):
-                if at > seq:
-                    status, seq = new, int(at)
+            if len(pdf) and pdf["seq"].max() > seq:
+                top = pdf.loc[pdf["seq"].idxmax()]
+                status, seq = top["status"], int(top["seq"])
         self.last.update((status, seq))
         if self.hours is not None:
             for timer in self.handle.listTimers():
