@@ -6,35 +6,20 @@ The tables are not an experiment workspace; every query maps an operator's seman
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, notices, states, texts, times
 from .operators import catalog, evaluate, grid, guard
 from .plans import cleanup, preflight
+from .registry import ORACLES, QUERIES, query
+from .registry import read as _read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 AS_OF = "2024-01-31 12:00:00"
 STOP_WORDS = ("the", "of", "and", "de", "la", "der", "und")
 
 
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 #: Event types as scheduler states, in Spark and in SQL.
 _STATES = {"click": "COMPLETED", "view": "RUNNING", "purchase": "TIMEOUT", "signup": "CANCELLED by 1000", "error": "PREEMPTED"}
 
@@ -58,10 +43,17 @@ def _status(c="event_type"):
     return out
 
 
-@query("SELECT printf('%09d', CAST(max(CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT)) + 1 AS BIGINT)) AS next_id FROM customer")
+#: Parts as experiments.
+_PARTS_SQL = "(SELECT p_partkey, printf('%04d', CAST(p_partkey AS BIGINT)) || '_20260101_' || replace(p_name, ' ', '_') AS exp_name FROM part)"
+
+
+def _parts(spark, d):
+    return _read(spark, d, "part").select("p_partkey", names.compose(names.padded(F.col("p_partkey")), F.lit("20260101"), F.translate("p_name", " ", "_")).alias("exp_name"))
+
+
+@query("SELECT printf('%04d', CAST(max(p_partkey) + 1 AS BIGINT)) AS next_id FROM part")
 def q_next_id(spark, d):
-    n = F.regexp_extract("c_name", r"([0-9]+)", 1).try_cast("long")
-    return _read(spark, d, "customer").agg(names.padded(F.coalesce(F.max(n), F.lit(0)) + 1, 9).alias("next_id"))
+    return catalog.next_id(_parts(spark, d).select("exp_name"))
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n_events FROM events GROUP BY user_id")
@@ -69,15 +61,14 @@ def q_latest_by_key(spark, d):
     return guard.latest_state(_read(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"])
 
 
-@query("SELECT arg_max(exp_name, exp_no) AS exp_name FROM (SELECT printf('%04d', CAST(p_partkey AS BIGINT)) || '_20260101_' || replace(p_name, ' ', '_') AS exp_name, p_partkey AS exp_no FROM part)")
+@query(f"SELECT arg_max(exp_name, p_partkey) AS exp_name FROM {_PARTS_SQL}")
 def q_latest_experiment(spark, d):
-    listing = _read(spark, d, "part").select(names.compose(names.padded(F.col("p_partkey")), F.lit("20260101"), F.translate("p_name", " ", "_")).alias("exp_name"))
-    return catalog.latest(listing)
+    return catalog.latest(_parts(spark, d).select("exp_name"))
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 10")
+@query(f"SELECT p_partkey, exp_name FROM {_PARTS_SQL} ORDER BY exp_name DESC LIMIT 10")
 def q_top_n(spark, d):
-    return _read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority").orderBy(F.desc("o_totalprice"), F.desc("o_orderkey")).limit(10)
+    return catalog.newest(_parts(spark, d), 10)
 
 
 _GRID_SQL = """
@@ -208,10 +199,10 @@ def q_prefix_match(spark, d):
     return _read(spark, d, "orders").filter(names.matches_job(F.col("o_orderkey").cast("string"), F.lit("12"), legacy_prefix=True)).select("o_orderkey")
 
 
-@query("SELECT o_orderkey, o_orderkey = 12 AS hit FROM orders WHERE o_orderkey < 2000")
+@query("SELECT o_orderkey, o_orderkey = 12 AS hit FROM orders")
 def q_exact_match(spark, d):
     dirs = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.col("o_orderkey").cast("string"), F.lit("_0"))).otherwise(F.col("o_orderkey").cast("string"))
-    return _read(spark, d, "orders").filter("o_orderkey < 2000").select("o_orderkey", names.matches_job(dirs, F.lit("12")).alias("hit"))
+    return _read(spark, d, "orders").select("o_orderkey", names.matches_job(dirs, F.lit("12")).alias("hit"))
 
 
 @query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS variant_key FROM pages")
@@ -373,11 +364,29 @@ def q_bootstrap_reason(spark, d):
     return _read(spark, d, "customer").select("c_custkey", states.bootstrap_reason(text(0), text(1), mode, k != 3, k != 4, k != 5, text(6), k != 7).alias("reason"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'pbs' WHEN c_custkey % 3 = 1 THEN 'slurm' ELSE 'local' END AS scheduler, CASE WHEN c_custkey % 3 = 2 THEN 'local' ELSE CAST(c_custkey AS VARCHAR) END AS job_id, CASE WHEN c_custkey % 3 = 1 THEN '7' ELSE NULL END AS task_id FROM customer")
+@query("""WITH e AS (SELECT c_custkey, c_custkey % 6 AS k, CAST(c_custkey AS VARCHAR) AS id FROM customer)
+SELECT c_custkey, CASE WHEN k < 2 THEN 'pbs' WHEN k < 4 THEN 'slurm' ELSE 'local' END AS scheduler,
+ CASE k WHEN 0 THEN id || '[3]' WHEN 1 THEN id WHEN 2 THEN id WHEN 3 THEN id WHEN 4 THEN '77' ELSE 'local' END AS job_id,
+ CASE k WHEN 0 THEN id WHEN 2 THEN '9' ELSE '' END AS array_job_id, CASE k WHEN 0 THEN '3' WHEN 2 THEN '7' ELSE '' END AS task_id,
+ CASE k WHEN 0 THEN 'q1' WHEN 1 THEN 'unknown' WHEN 2 THEN 'p1' WHEN 3 THEN 'unknown' ELSE 'local' END AS partition,
+ CASE k WHEN 0 THEN 'h1' WHEN 1 THEN 'h1' WHEN 2 THEN 'n1' WHEN 3 THEN 'unknown' WHEN 4 THEN 'h1' ELSE 'unknown' END AS node,
+ CASE k WHEN 0 THEN '1' WHEN 1 THEN id || '.server' WHEN 2 THEN id WHEN 3 THEN id ELSE '' END AS recorded
+FROM e""")
 def q_job_environment(spark, d):
-    id_, k = F.col("c_custkey").cast("string"), F.col("c_custkey") % 3
-    env = F.when(k == 0, F.create_map(F.lit("PBS_JOBID"), F.concat(id_, F.lit("[3].server")), F.lit("SLURM_JOB_ID"), F.lit("1"))).when(k == 1, F.create_map(F.lit("SLURM_JOB_ID"), id_, F.lit("SLURM_ARRAY_TASK_ID"), F.lit("7"))).otherwise(F.create_map(F.lit("PBS_JOBID"), F.lit(""), F.lit("SLURM_JOB_ID"), F.lit("")))
-    return _read(spark, d, "customer").select("c_custkey", states.job_environment(env).alias("e")).select("c_custkey", "e.scheduler", "e.job_id", "e.task_id")
+    id_, k = F.col("c_custkey").cast("string"), F.col("c_custkey") % 6
+    env = lambda **x: F.create_map(*[c for key, v in x.items() for c in (F.lit(key), F.lit(v) if isinstance(v, str) else v)])
+    envs = [
+        env(PBS_JOBID=F.concat(id_, F.lit("[3].server")), PBS_ARRAY_INDEX="3", PBS_QUEUE="q1", HOSTNAME="h1", SLURM_JOB_ID="1"),
+        env(PBS_JOBID=F.concat(id_, F.lit(".server")), HOSTNAME="h1", SLURM_JOB_ID=""),
+        env(SLURM_JOB_ID=id_, SLURM_ARRAY_JOB_ID="9", SLURM_ARRAY_TASK_ID="7", SLURM_JOB_PARTITION="p1", SLURMD_NODENAME="n1", HOSTNAME="h1"),
+        env(SLURM_JOB_ID=id_, PBS_JOBID="", PBS_ARRAY_INDEX="5", HOSTNAME="h1"),
+        env(HOSTNAME="h1", PID="77"),
+        env(SLURM_ARRAY_TASK_ID="7"),
+    ]
+    chosen = envs[-1]
+    for i, e in enumerate(envs[:-1]):
+        chosen = F.when(k == i, e).otherwise(chosen)
+    return _read(spark, d, "customer").select("c_custkey", states.job_environment(chosen).alias("e"), states.recorded_job_id(chosen).alias("recorded")).select("c_custkey", "e.*", "recorded")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey = 12 THEN 'CANCELLED' ELSE o_orderstatus END AS status, CASE WHEN o_custkey = 12 THEN 'budget' END AS cancel_reason, o_custkey = 12 AS cancel_requested FROM orders")
@@ -388,11 +397,11 @@ def q_cancel(spark, d):
     return lifecycle.cancel(runs, "12", "budget", "me").select("o_orderkey", "status", "cancel_reason", "cancel_requested")
 
 
-@query("SELECT c.c_custkey, c.c_name AS exp_name, p.c_name AS resumed_from_exp, p.c_custkey IS NOT NULL AS parent_known FROM (SELECT *, 'Customer#' || CASE WHEN c_custkey % 5 = 1 THEN 'gone' ELSE printf('%09d', CAST(c_custkey // 2 AS BIGINT)) END AS up FROM customer WHERE c_custkey > 1) c LEFT JOIN customer p ON p.c_name = c.up WHERE c.c_custkey % 5 <> 1 AND p.c_custkey IS NOT NULL")
+@query("SELECT c.c_custkey, c.c_name AS exp_name, c.up AS resumed_from_exp, p.c_custkey IS NOT NULL AS parent_known FROM (SELECT *, 'Customer#' || CASE WHEN c_custkey % 5 = 1 THEN 'gone' ELSE printf('%09d', CAST(c_custkey // 2 AS BIGINT)) END AS up FROM customer WHERE c_custkey > 1) c LEFT JOIN customer p ON p.c_name = c.up")
 def q_lineage(spark, d):
     up = F.concat(F.lit("Customer#"), F.when(F.col("c_custkey") % 5 == 1, "gone").otherwise(F.format_string("%09d", F.floor(F.col("c_custkey") / 2))))
     exps = _read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("exp_name"), F.when(F.col("c_custkey") > 1, up).alias("resumed_from_exp"), F.lit("20260101").alias("created_date"))
-    return catalog.lineage(exps).filter("parent_known").select("c_custkey", "exp_name", "resumed_from_exp", "parent_known")
+    return catalog.lineage(exps).select("c_custkey", "exp_name", "resumed_from_exp", "parent_known")
 
 
 _PLAN_SQL = f"""
@@ -419,3 +428,7 @@ SELECT round(sum(hit) / sum(t), 6) AS accuracy, round(avg(2.0 * hit / (t + g)),
 def q_macro_f1(spark, d):
     rows = _read(spark, d, "labels").join(_read(spark, d, "documents"), "doc_id").select("quality", (F.col("n_chars") > 1000).cast("int").alias("guess"))
     return evaluate.macro_f1(rows, "quality", "guess")
+
+
+# The queries of plans, of files and of streams register themselves.
+from . import plan_queries, source_queries  # noqa: E402, F401

@@ -115,6 +115,12 @@ def pbs_reports(spark: SparkSession, glob: str) -> DataFrame:
     return at.withColumn("state", states.scheduler_state(F.lit("pbs"), F.lit(True), F.col("output"), F.col("comment"), F.col("exit_status"), nothing, nothing))
 
 
+def templates(spark: SparkSession, root: str) -> DataFrame:
+    """Templates and, below them, header files: (file, text)."""
+    found = whole_files(spark, f"{root}/templates/*.*").unionByName(whole_files(spark, f"{root}/templates/headers/*.*"))
+    return found.select(F.regexp_extract("path", r"/templates/(.*)$", 1).alias("file"), "text")
+
+
 def table(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """A Parquet, ORC, CSV or JSON table by its suffix."""
     kind = path.rstrip("/").rsplit(".", 1)[-1]
