@@ -1,31 +1,46 @@
 """Sharding by extendible hashing.
 
-A document's address is a 64-bit hash of doc_id; a shard is an address prefix.  Starting with one bucket, only
-buckets above ``limit`` bytes split on their next bit.  Bytes are summed once by a prefix of ``STEP`` bits (at most
-2**STEP rows after the partial aggregation) and rolled up over the shorter prefixes, so that a split costs no pass
-over the documents.  Where a bucket is still too large after STEP bits, the next bits of its own documents are
-summed in the same way.  The directory (an entry for each prefix of the global depth) is broadcast only
-while it has at most ``DIRECTORY`` entries; above that the lookup is an ordinary join.
+A row's address is ``BITS`` bits: a hash of doc_id, then one of doc_id and text, then one of the row's place in the input.  A
+shard is an address prefix.  Starting with one bucket, only buckets above ``limit`` bytes split on their next bit.
+Bytes are summed once by a prefix of ``STEP`` bits (at most 2**STEP rows after the partial aggregation) and rolled up over
+the shorter prefixes, so that a split costs no pass over the documents.  Where a bucket is still too large after STEP bits,
+the next bits of its own documents are summed in the same way.  So rows of one doc_id part on their texts, and equal
+rows on their places.
+
+The directory is a table with a row for each shard, and shards are at least as deep as the least deep one, so rows find theirs by
+an ordinary join on a prefix of that depth, where few shards share one.
 
 Defined cases: null or empty text has 0 bytes; a document larger than the limit ends alone in its shard
-(``oversize``); rows of equal doc_id share all bits, so when they exceed the limit they go to overflow pages
-of the same address; an empty table gives an empty result; extra columns pass through.
+(``oversize``); an empty table gives an empty result; extra columns pass through, but for those that have the name of an added one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 STEP = 20
-DIRECTORY = 1 << 17
+BITS = 192
+LIMIT = 1 << 20
 
 
 def prefix(address: Column, bits: Column | int) -> Column:
-    """The leading ``bits`` bits of a 64-bit address as text of 0 and 1."""
-    return F.substring(F.lpad(F.bin(address), 64, "0"), F.lit(1), F.lit(bits) if isinstance(bits, int) else bits)
+    """The leading ``bits`` bits of an address (an array of words of 32 bits) as text of 0 and 1."""
+    if isinstance(bits, int):
+        whole, rest = divmod(bits, 32)
+        parts = [F.lpad(F.bin(address[k]), 32, "0") for k in range(whole)]
+        parts += [F.substring(F.lpad(F.bin(address[whole]), 32, "0"), 1, rest)] * (rest > 0)
+        return F.concat(*parts) if parts else F.lit("")
+    return F.substring(prefix(address, BITS), F.lit(1), bits)
+
+
+def address(seed: int) -> Column:
+    """Words of 32 bits from MD5 digests: of doc_id, of doc_id and text, of the row's place in the input."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    digests = (name, F.concat_ws(":", name, "text"), F.concat_ws(":", F.lit(str(seed)), F.monotonically_increasing_id().cast("string")))
+    return F.array(*[F.conv(F.substring(F.md5(d.cast("binary")), 8 * k + 1, 8), 16, 10).cast("long") for d in digests for k in range(2)])
 
 
 def leaves(sums: DataFrame, known: int, depth: int, limit: int) -> DataFrame:
@@ -40,65 +55,52 @@ def leaves(sums: DataFrame, known: int, depth: int, limit: int) -> DataFrame:
     return fits.join(parents, parent, "left_anti")
 
 
-def directory(addressed: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
-    """Pairs (depth, shards found in that round); together they cover all addresses but those that 64 bits do not part."""
-    found, open_, known = [], addressed, 0
+def directory(addressed: DataFrame, limit: int) -> DataFrame:
+    """(address, n_bytes) -> the shards: length, shard, shard_bytes, shard_docs."""
+    found, open_, known = None, addressed, 0
     while True:
-        depth = min(known + STEP, 64)
-        sums = open_.groupBy(prefix(F.col("address"), depth).alias("slot")).agg(F.sum("n_bytes").alias("bytes"), F.sum("rows").alias("docs"))
+        depth = min(known + STEP, BITS)
+        sums = open_.groupBy(prefix(F.col("address"), depth).alias("slot")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"))
+        sums = materialize(sums)
+        total = sums.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n")).first()["n"]
         got = materialize(leaves(sums, known, depth, limit))
-        found.append((depth, got))
-        # Shards are few (about twice bytes/limit); what they leave over is looked for among the sums only.
+        found = got if found is None else found.unionByName(got)
         covered = got.agg(F.coalesce(F.sum("shard_docs"), F.lit(0)).alias("n")).first()["n"]
-        total = open_.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
-        if covered == total or depth == 64:
+        if covered == total:
             return found
-        open_ = materialize(assigned(open_, [(depth, got)]).filter("shard is null").drop("shard", "shard_bytes", "shard_docs"))
+        if depth == BITS:
+            raise ValueError("rows with one address of all bits")
+        open_ = materialize(assigned(open_, got).filter("shard is null").select(*addressed.columns))
         known = depth
 
 
-def assigned(addressed: DataFrame, found: list[tuple[int, DataFrame]]) -> DataFrame:
+def assigned(addressed: DataFrame, shards: DataFrame) -> DataFrame:
     """``addressed`` with shard, shard_bytes and shard_docs (null where no shard covers the address)."""
-    out = addressed
-    for k, (_, got) in enumerate(found):
-        deepest = got.agg(F.coalesce(F.max("length"), F.lit(0)).alias("n")).first()["n"]
-        if deepest <= DIRECTORY.bit_length() - 1:
-            # The directory proper: 2**deepest entries, several of which may point to one shard.
-            tails = F.expr(f"transform(sequence(0L, shiftleft(1L, {deepest} - length) - 1), x -> if(length = {deepest}, '', lpad(bin(x), {deepest} - length, '0')))")
-            entries = F.broadcast(got.select(F.explode(tails).alias("_tail"), "shard", "shard_bytes", "shard_docs").select(F.concat("shard", "_tail").alias("_slot"), "shard", "shard_bytes", "shard_docs"))
-            new = out.withColumn("_slot", prefix(F.col("address"), deepest)).join(entries.toDF("_slot", *[f"_{c}{k}" for c in ("shard", "shard_bytes", "shard_docs")]), "_slot", "left")
-        else:
-            lengths = [r["length"] for r in got.select("length").distinct().collect()]  # 64 values at most
-            slots = F.array(*[prefix(F.col("address"), n) for n in sorted(lengths)])
-            ids = out.select("address").distinct().select("address", F.explode(slots).alias("_slot"))
-            hit = ids.join(got.select(F.col("shard").alias("_slot"), "shard", "shard_bytes", "shard_docs"), "_slot").drop("_slot")
-            new = out.join(hit.toDF("address", *[f"_{c}{k}" for c in ("shard", "shard_bytes", "shard_docs")]), "address", "left")
-        for c in ("shard", "shard_bytes", "shard_docs"):
-            new = new.withColumn(c, F.coalesce(F.col(c), F.col(f"_{c}{k}")) if c in out.columns else F.col(f"_{c}{k}")).drop(f"_{c}{k}")
-        out = new.drop("_slot")
-    return out
+    ends = shards.agg(F.coalesce(F.min("length"), F.lit(0)).alias("low"), F.coalesce(F.max("length"), F.lit(0)).alias("high")).first()
+    right = shards.select(F.substring("shard", 1, ends["low"]).alias("_base"), "shard", "shard_bytes", "shard_docs")
+    left = addressed.withColumn("_slot", prefix(F.col("address"), ends["high"])).withColumn("_left", F.substring("_slot", 1, ends["low"]))
+    return left.join(right, (F.col("_left") == F.col("_base")) & F.startswith("_slot", "shard"), "left").drop("_slot", "_left", "_base")
 
 
 ADDED = ("n_bytes", "shard", "depth", "shard_bytes", "oversize")
 
 
-def shard(docs: DataFrame, limit: int = 32 << 20, seed: int = 29, keep: list[str] | None = None) -> DataFrame:
-    """Per row: the ``keep`` columns (doc_id), n_bytes, shard (address bits, with ``/page`` on overflow), depth,
-    shard_bytes, oversize.  Kept columns of these names give way to the new ones."""
+def shard(docs: DataFrame, limit: int = LIMIT, seed: int = 29, keep: list[str] | None = None) -> DataFrame:
+    """Per row: the ``keep`` columns (doc_id), n_bytes, shard (address bits), depth, shard_bytes, oversize.
+
+    Kept columns of these names give way to the new ones.
+    """
     keep = [c for c in keep or ["doc_id"] if c not in ADDED]
-    n_bytes, address = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64(F.lit(seed), "doc_id").alias("address")
-    small = materialize(docs.select("doc_id", n_bytes, address))
-    found = directory(small.groupBy("address").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("rows")), limit)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    small = materialize(docs.select("doc_id", n_bytes, address(seed).alias("address")))
+    found = directory(small.select("address", "n_bytes"), limit)
     whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept")
-    rows = docs.select(whole, n_bytes, address) if keep != ["doc_id"] else small.select(whole, "n_bytes", "address")
+    rows = small.select(F.struct("doc_id").alias("_kept"), "n_bytes", "address") if keep == ["doc_id"] else docs.select(whole, n_bytes, address(seed).alias("address"))
     out = assigned(rows, found)
-    plain = out.filter("shard is not null").select("_kept", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes")
-    if found[-1][0] == 64:
-        alike = out.filter("shard is null").drop("shard", "shard_bytes", "shard_docs")
-        most = alike.groupBy("address").agg(F.max("n_bytes").alias("_most"))
-        place = F.row_number().over(Window.partitionBy("address").orderBy("n_bytes"))
-        page = F.floor((place - 1) / F.greatest(F.floor(F.lit(limit) / F.greatest("_most", F.lit(1))), F.lit(1)))
-        alike = alike.join(most, "address").withColumn("shard", F.concat(prefix(F.col("address"), 64), F.lit("/"), page.cast("string")))
-        pages = alike.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
-        plain = plain.unionByName(alike.join(pages, "shard").select("_kept", "n_bytes", "shard", F.lit(64).alias("depth"), "shard_bytes"))
-    return plain.select("_kept.*", "n_bytes", "shard", "depth", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversize"))
+    return out.select("_kept.*", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversize"))
+
+
+def laid_out(sharded: DataFrame, part: int = 128 << 20) -> DataFrame:
+    """Rows of a shard side by side in one partition, in order of shard and doc_id; partitions of about ``part`` bytes of text."""
+    total = sharded.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
+    return sharded.repartition(int(total // part) + 1, "shard").sortWithinPartitions("shard", "doc_id")
