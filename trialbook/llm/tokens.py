@@ -1,6 +1,7 @@
 """Token ids in bit-packed binary files.
 
-Documents are dealt by ranges of doc_id, tokenized, and written in ascending order, one file per range.  A file holds
+Documents are dealt by ranges of doc_id, as many as ``FILE`` bytes of text go into the corpus, tokenized, and written in
+ascending order, one file per range; as many tasks read the files back.  A file holds
 blocks of ``BLOCK`` ids, each id in the least number of bits that the vocabulary needs (low bit first), then the blocks'
 byte offsets, the documents' first ids and doc_ids, and a fixed-size trailer; so numpy unpacks any block
 by itself and a document is reached without reading the ones before it.
@@ -8,14 +9,16 @@ by itself and a document is reached without reading the ones before it.
 Tokenizing: a text is split before each blank that stands between two other characters.  A byte-level BPE pre-tokenizer
 always splits there, so the pieces' ids, back to back, are the text's ids; every distinct piece of a
 batch goes to the tokenizers library once, and a bounded cache in the worker spares it further calls.  Texts in which
-white space meets white space, or which hold a special token's characters, are encoded whole.
+white space meets white space, or which hold a special token's characters, are encoded whole; with a tokenizer of another
+kind (another pre-tokenizer, a normalizer, a prefix blank, truncation) all texts are.
 
 Defined cases: null or empty text is the end id alone; a null doc_id comes first; rows of equal doc_id are ordered by
-text; an empty table writes no file and gives no row; extra columns are ignored.
+a hash of their text (and may lie in several files); an empty table writes no file and gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -34,6 +37,7 @@ from .common import materialize, scratch_dir, slices
 from .store import Folder, own_name
 
 BLOCK = 1 << 16
+FILE = 32 << 20
 CACHE = 700_000
 MAGIC = b"PACKEDID"
 _MARK = "\x00"
@@ -68,6 +72,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec["pre_tokenizer"] or {}
+        plain = not any(spec[k] for k in ("normalizer", "truncation", "padding")) and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+        #: Whether pieces may be encoded apart.
+        self.apart = plain and before.get("type") == "ByteLevel" and before.get("use_regex") is True and not before.get("add_prefix_space")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -100,6 +109,9 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids back to back, and the number of ids of each text."""
         texts = pc.fill_null(texts, "")
+        if not self.apart:
+            found = self.encode(texts.to_pylist())
+            return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         odd = pc.match_substring_regex(texts, _MEETING)
         if self.special:
             odd = pc.or_(odd, pc.match_substring_regex(texts, self.special))
@@ -223,15 +235,23 @@ def write(docs: DataFrame, path: str, uri: str, end: int = 2) -> DataFrame:
             n_ids, n_docs = writer.close()
         yield pa.record_batch({"part": [TaskContext.get().partitionId()], "name": [name], "n_ids": [n_ids], "n_docs": [n_docs]})
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Identical rows are told apart by their place in the input, so that no key is too large for a range.
+    keys = ["doc_id", "_hash", "_row"]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    dealt = dealt.repartitionByRange(parts(docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     files = materialize(dealt.mapInArrow(run, "part long, name string, n_ids long, n_docs long"))
     # A row per file: the running sum over files is small whatever the corpus.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def parts(docs: DataFrame) -> int:
+    """The number of files for a corpus."""
+    return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // FILE) + 1
+
+
 def read(files: DataFrame, uri: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, file, row."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, file, row.  A task for each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder(uri)
@@ -254,7 +274,10 @@ def read(files: DataFrame, uri: str) -> DataFrame:
                         })
                         at = stop
 
-    return files.select("name", "start").repartition("name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, row long")
+    files = materialize(files.select("part", "name", "start"))
+    # An explicit number of ranges, which adaptive execution leaves alone.
+    dealt = files.repartitionByRange(max(files.count(), 1), "part").select("name", "start")
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, row long")
 
 
 def token_files(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
