@@ -3,8 +3,9 @@
 A payload (bytes padded with 0 to a positive multiple of 64) is stored as an 8-bit grey PNG that is 64 samples wide,
 which keeps it losslessly.  Every task writes tar shards in the shared folder; a member is named by the SHA-256 of its
 payload and occurs once in a shard.  A row carries digest, shard, offset and length only.  ``with_metadata`` fills
-width and height from the first 33 bytes of each member (a range read); ``features`` reads members back in
-shard order, one read for rows that share a member, and derives everything from what it has read.
+width and height from the first 33 bytes of each member (a range read); ``features`` reads members back and derives everything
+else from what it has read.  Both go through the shards in order, with one read for rows that share a member, in as many tasks as
+``TASK`` bytes go into the members.
 
 Defined cases: null or empty text is a payload of 64 zero bytes; equal texts give equal values; repeated rows share
 a member; an empty table writes no shard; texts of any length are one member; extra columns are ignored.
@@ -29,6 +30,7 @@ from .store import Folder, own_name
 WIDTH = 64
 SHARD = 128 << 20
 HEADER = 33
+TASK = 16 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -134,12 +136,19 @@ def _members(index: DataFrame, uri: str, columns: str, derive) -> DataFrame:
                 yield pa.record_batch([*b.columns, *new], names=[*b.schema.names, *names])
 
     kept = ", ".join(f"{c} {t}" for c, t in index.dtypes)
-    dealt = index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(run, f"{kept.replace('bigint', 'long')}, {columns}")
+    return index.mapInArrow(run, f"{kept.replace('bigint', 'long')}, {columns}")
+
+
+def in_order(index: DataFrame) -> DataFrame:
+    """The index dealt in shard order, by the bytes that it points to."""
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    # The row number parts the rows that share a member when these are many.
+    keys = ["shard", "offset", "doc_id", "_row"]
+    return index.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(int(size // TASK) + 1, *keys).sortWithinPartitions(*keys).drop("_row")
 
 
 def with_metadata(index: DataFrame, uri: str) -> DataFrame:
-    """The index with width and height, from the members' headers alone."""
+    """The index (in shard order) with width and height, from the members' headers alone."""
 
     def derive(file, offset: int, length: int) -> tuple:
         file.seek(offset)
@@ -149,26 +158,25 @@ def with_metadata(index: DataFrame, uri: str) -> DataFrame:
 
 
 def features(index: DataFrame, uri: str) -> DataFrame:
-    """The index with payload and media columns, all computed from the bytes read back."""
+    """The index (in shard order) with payload and media columns, all computed from the bytes read back."""
 
     def derive(file, offset: int, length: int) -> tuple:
         file.seek(offset)
-        header = file.read(HEADER)
-        width, height = shape(header)
-        stored = header + file.read(length - HEADER)
+        stored = file.read(length)
+        width, height = shape(stored[:HEADER])
         payload = decode(stored)
         counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
         share = counts[counts > 0] / len(payload)
         mean = float((counts * np.arange(256)).sum() / len(payload))
         spread = float(np.sqrt(max((counts * np.arange(256) ** 2).sum() / len(payload) - mean**2, 0)))
         said = f"{width}x{height} mean={mean:.4f} sd={spread:.4f} entropy={float(-(share * np.log2(share)).sum()):.4f}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), said, width, height
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), said
 
-    return _members(index, uri, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long", derive)
+    return _members(index, uri, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", derive)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Store every text, read it back and return one row per document."""
     uri = scratch_dir(docs.sparkSession, "media")
-    out = features(store(docs, uri), uri)
+    out = features(with_metadata(in_order(store(docs, uri)), uri), uri)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", F.col("digest"), "shard", "offset", "length")
