@@ -23,11 +23,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and every executor can reach.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset (local tests) is a folder made here.
+    ``spark.checkpoint.dir`` names it.  Where that is unset a folder is made here, but only for a local master:
+    on a cluster others would not see it.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='trialbook-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
@@ -49,8 +52,8 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Re-slice Arrow batches so that each holds about ``most`` bytes of ``column`` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Re-slice Arrow batches so that each holds about ``most`` bytes of ``column`` (one row at least) and ``rows`` rows at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,7 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            stop = min(max(at + 1, int(np.searchsorted(ends, done + most, side="right"))), at + rows)
             yield batch.slice(at, stop - at)
             at = stop
 

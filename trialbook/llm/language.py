@@ -6,13 +6,15 @@ The kernel of two texts is the cosine of their sets.  It is approximated from ``
 (Nyström) and one kernel ridge regression per language is solved on it; texts are scored in batches by two
 matrix products, texts x landmarks and landmarks x languages.
 
-The fit sees a bounded sample: about ``per_language`` training rows of each language, chosen by a hash of doc_id.
-Features of the sample are computed on the executors (2 kB a row, whatever the length of the text) and only those
-reach the driver.  More than ``MOST_LANGUAGES`` distinct labels are refused.
+The fit sees a bounded sample: about ``per_language`` training rows of each language and about ``rows`` in all, chosen by a
+hash of doc_id and text (so rarer ones where there are more than ``rows`` labels).  Features of the sample are computed on the
+executors (2 kB a row, whatever the length of the text) and only those reach the driver.  Every language of the
+sample has a landmark of its own at least.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; if no training row exists every
-text is ``und``; repeated rows get equal results; extra columns are ignored; texts of any length are read whole,
-in pieces.
+text is ``und``; a row without doc_id is neither held out nor learned from (``held_out`` is null); equal rows count once in the
+sample and get equal results; extra columns are ignored; texts of any length are read whole, in pieces, and at most
+``TOGETHER`` at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .common import joined_bytes, slices
 GRAMS = 3
 DIMS = 1 << 14
 PIECE = 1 << 20
-MOST_LANGUAGES = 1000
+TOGETHER = 512
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -81,42 +83,45 @@ class Model:
         return best, 1 / odds.sum(axis=1)
 
 
-def fit(docs: DataFrame, training: Column, per_language: int = 300, landmarks: int = 96, ridge: float = 1e-3, seed: int = 5) -> Model | None:
+def fit(docs: DataFrame, training: Column, per_language: int = 300, landmarks: int = 96, ridge: float = 1e-3, seed: int = 5, rows: int = 20_000) -> Model | None:
     """Train on rows where ``training`` holds and lang is not null.  None if there is none."""
-    known = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    known = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    labels = counts.count()
+    if not labels:
         return None
-    # A keyed hash below a rate for each language: an expected per_language rows, whatever the size of the corpus.
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    sample = known.select("doc_id", "lang", "text", draw.alias("draw")).filter(F.col("draw") < F.element_at(rates, F.col("lang")))
+    # A keyed hash below a rate for each language: an expected number of rows, whatever the size of the corpus.
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    sample = known.join(counts, "lang").filter(draw < min(per_language, rows / labels) / F.col("_n"))
+    sample = sample.select("doc_id", "lang", "text", draw.alias("draw")).dropDuplicates(["lang", "draw"])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=1 << 20):
+        for b in slices(batches, most=1 << 20, rows=TOGETHER):
             packed = np.packbits(presence(b.column("text")), axis=1)
             yield pa.record_batch({"lang": b.column("lang"), "draw": b.column("draw"), "doc_id": b.column("doc_id"), "bits": pa.array([x.tobytes() for x in packed], pa.binary())})
 
-    rows = sample.mapInArrow(featured, "lang string, draw double, doc_id long, bits binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"] or 0))
-    if not rows:
+    found = sample.mapInArrow(featured, "lang string, draw double, doc_id long, bits binary").collect()
+    if not found:
         return None
-    languages = sorted({r["lang"] for r in rows})
-    sets = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
-    label = np.array([languages.index(r["lang"]) for r in rows])
+    found.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"]))
+    languages = sorted({r["lang"] for r in found})
+    place = {lang: k for k, lang in enumerate(languages)}
+    label = np.array([place[r["lang"]] for r in found])
+    sets = lambda these: np.unpackbits(np.stack([np.frombuffer(found[k]["bits"], np.uint8) for k in these]), axis=1).astype(np.float32)
     # Landmarks in equal shares, in drawing order.
-    turn = np.concatenate([np.arange((label == k).sum()) for k in range(len(languages))])
-    chosen = np.lexsort((label, turn))[:landmarks]
-    scaled = sets.astype(np.float32) / _lengths(sets)
-    marks = scaled[chosen].T.copy()
-    kernel = (scaled @ marks).astype(np.float64)
+    turn = np.arange(len(found)) - np.searchsorted(label, label)
+    chosen = np.lexsort((label, turn))[: max(landmarks, len(languages))]
+    marks = sets(chosen)
+    marks = (marks / _lengths(marks)).T.copy()
+    kernel = np.zeros((len(found), len(chosen)))
+    for at in range(0, len(found), TOGETHER):
+        part = sets(range(at, min(at + TOGETHER, len(found))))
+        kernel[at : at + TOGETHER] = part @ marks / _lengths(part)
     among = kernel[chosen]
     target = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Balanced rows: each language weighs the same.
-    weight = (len(rows) / len(languages) / np.bincount(label))[label][:, None]
-    system = kernel.T @ (weight * kernel) + ridge * len(rows) * (among + 1e-6 * np.eye(len(chosen)))
+    weight = (len(found) / len(languages) / np.bincount(label))[label][:, None]
+    system = kernel.T @ (weight * kernel) + ridge * len(found) * (among + 1e-6 * np.eye(len(chosen)))
     return Model(languages, marks, np.linalg.solve(system, kernel.T @ (weight * target)).astype(np.float32))
 
 
@@ -142,7 +147,7 @@ def recognized(docs: DataFrame, model: Model | None, least: float = 0.0) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = predictor(given.value and Model(*given.value))
         for b in batches:
-            for s in slices([b], "text", 1 << 20):
+            for s in slices([b], "text", 1 << 20, TOGETHER):
                 lang, score = predict(s.column("text"))
                 yield s.filter(pa.array([one != UNKNOWN and value >= least for one, value in zip(lang, score, strict=True)], pa.bool_()))
 
@@ -157,7 +162,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = predictor(given.value and Model(*given.value))
         for b in batches:
-            for s in slices([b], "_text", 1 << 20):
+            for s in slices([b], "_text", 1 << 20, TOGETHER):
                 lang, score = predict(s.column("_text"))
                 yield pa.record_batch([*[s.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
