@@ -7,11 +7,9 @@ import pyarrow as pa
 
 from .common import joined_bytes
 
-_RNG = np.random.default_rng(977)
-_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Places of a word whose byte values are looked up.
+_SHORT = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -24,8 +22,19 @@ def stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _worth(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random value for each byte at each place of a word."""
+    return stir((place.astype(np.uint64) * np.uint64(256) + byte + np.uint64(1)) * _STEP)
+
+
+_TABLE = _worth(np.tile(np.arange(256, dtype=np.uint8), _SHORT), np.repeat(np.arange(_SHORT), 256))
+
+
 def words(column: pa.Array, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte (in its text) of every word of the lower-cased (A-Z) texts, and the n+1 word offsets of the texts."""
+    """Hash, first byte and end byte (in its text) of every word of the lower-cased (A-Z) texts, and the n+1 word offsets of the texts.
+
+    A hash is the sum of random values for the word's bytes, each at its place, so no pattern of bytes cancels out.
+    """
     raw, offsets = joined_bytes(column)
     raw = _LOWER[raw]
     dark = ~_BLANK[raw]
@@ -36,23 +45,19 @@ def words(column: pa.Array, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarra
     last = dark.copy()
     last[:-1] &= ~dark[1:] | edge[1:-1]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-    out = np.empty(len(start), np.uint64)
-    # Words are hashed piece by piece, so that powers are needed for one piece only; a longer word widens it.
-    at = 0
-    while at < len(start):
-        upto = max(at + 1, int(np.searchsorted(stop, start[at] + piece, side="right")))
-        low, high = start[at], stop[upto - 1]
-        up = np.full(high - low + 1, _BASE, np.uint64)
-        up[0] = 1
-        up = np.cumprod(up)
-        down = np.full(high - low + 1, _INVERSE, np.uint64)
-        down[0] = 1
-        down = np.cumprod(down)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_VALUE[raw[low:high]] * up[:-1], out=sums[1:])
-        i, j = start[at:upto] - low, stop[at:upto] - low
-        out[at:upto] = stir((sums[j] - sums[i]) * down[i] + (j - i).astype(np.uint64) * _STEP)
-        at = upto
+    out = (stop - start).astype(np.uint64) * _STEP
+    for low in range(0, len(raw), piece):
+        here = low + np.flatnonzero(dark[low : low + piece])
+        if not len(here):
+            continue
+        own = np.searchsorted(start, here[0], side="right") - 1 + np.append(0, np.cumsum(first[here[1:]]))
+        place = here - start[own]
+        worth = _TABLE[np.minimum(place, _SHORT - 1) * 256 + raw[here]]
+        long = np.flatnonzero(place >= _SHORT)
+        worth[long] = _worth(raw[here[long]], place[long])
+        head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[head]] += np.add.reduceat(worth, head)
+    out = stir(out)
     bounds = np.searchsorted(start, offsets)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     return out, start - offsets[text], stop - offsets[text], bounds
