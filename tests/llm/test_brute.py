@@ -345,7 +345,7 @@ def test_media_headers(spark):
 
     uri = scratch_dir(spark, "media-test")
     index = media.store(frame(spark, [(1, "a" * 100), (2, "b"), (3, "b")]), uri)
-    got = {r.doc_id: r for r in media.with_metadata(index, uri).collect()}
+    got = {r.doc_id: r for r in media.with_metadata(media.in_order(index), uri).collect()}
     assert (got[1].width, got[1].height) == (64, 2) and got[2].height == 1
     assert (got[2].shard, got[2].offset) == (got[3].shard, got[3].offset) or got[2].digest == got[3].digest
 
@@ -359,12 +359,11 @@ def test_jaccard_equals_sql(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in queries.op3_ngram_jaccard(spark, DATA).collect()} == want
 
 
-@pytest.mark.parametrize("step,entries", [(2, 1 << 17), (3, 2)])
-def test_shards_in_rounds(spark, table, monkeypatch, step, entries):
+@pytest.mark.parametrize("step", [2, 3])
+def test_shards_in_rounds(spark, table, monkeypatch, step):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     once = {(r.doc_id, r.shard, r.shard_bytes) for r in sharding.shard(docs, limit=60_000).collect()}
     monkeypatch.setattr(sharding, "STEP", step)
-    monkeypatch.setattr(sharding, "DIRECTORY", entries)
     assert {(r.doc_id, r.shard, r.shard_bytes) for r in sharding.shard(docs, limit=60_000).collect()} == once
 
 
@@ -468,3 +467,77 @@ def test_passages_over_blocks(spark):
     rows = [(1, " ".join(words)), (2, "x y " + " ".join(words[100:700])), (3, "only this"), (3, " ".join(words[:300]))]
     got = {(r.doc_id, r.other_id, r.start_word, r.n_words, r.other_start, r.n_agree) for r in passages.repeated(frame(spark, rows)).collect()}
     assert got == {(2, 1, 2, 600, 100, 600), (3, 1, 0, 300, 0, 300)}
+
+
+def test_files_are_read_back_in_many_tasks(spark, monkeypatch):
+    """Tasks grow with the bytes of files and members, a doc_id or member that many rows share included."""
+    import public_tokenizers
+
+    from trialbook.llm import media
+    from trialbook.llm.common import scratch_dir
+
+    rows = frame(spark, [(None if k < 30 else 7, "the same words again " * 40) for k in range(60)])
+    monkeypatch.setattr(tokens, "FILE", 4000)
+    monkeypatch.setattr(media, "TASK", 300)
+    uri = scratch_dir(spark, "tokens-test")
+    files = tokens.write(rows, public_tokenizers.path("byte_bpe_50k.json"), uri)
+    assert files.count() > 6
+    got = sorted(tokens.read(files, uri).collect(), key=lambda r: r.start)
+    assert tokens.read(files, uri).rdd.getNumPartitions() == files.count()
+    assert [r.doc_id for r in got] == [None] * 30 + [7] * 30 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    uri = scratch_dir(spark, "media-test")
+    assert media.in_order(media.store(rows, uri)).rdd.getNumPartitions() > 10
+
+
+def test_other_tokenizers_encode_whole():
+    """A tokenizer with another pre-tokenizer is not given pieces."""
+    import public_tokenizers
+
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Hello there, you.", "  two  blanks ", "", None, "A.b.c don't\n"]
+    ids, counts = encoder.ids(pa.array(texts, pa.string()))
+    assert not encoder.apart
+    assert [g.tolist() for g in np.split(ids, np.cumsum(counts)[:-1])] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_leaks_in_periodic_text():
+    """Texts and items that repeat themselves: passages are counted without overlap, in time that grows with the text."""
+    import time
+
+    def found(text, items):
+        return {i: (n, e) for _, rows in decontaminate.scan(pa.record_batch({"text": [text]}), decontaminate.Items(list(range(len(items))), items, 0.08)) for i, n, e in rows}
+
+    began = time.monotonic()
+    assert found("=" * 1_000_000, ["=" * 300, "=" * 20_000]) == {0: (3333, 0), 1: (50, 0)}
+    rule = "-" * 78 + "\n"
+    assert found(rule * 2000, [rule * 4, "-" * 100])[0] == (500, 0)
+    assert time.monotonic() - began < 60
+    assert found("yes. a Yes yesterday, no-yes", ["yes", "no", "ye", " ", ""]) == {0: (3, 0), 1: (1, 0)}
+
+
+def test_leaks_in_many_blocks(spark, monkeypatch):
+    """Items in several files, documents in several groups."""
+    rnd = random.Random(3)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items = [(k, say(20)) for k in range(20)]
+    rows = [(i, say(10) + " " + (items[i % 20][1] if i % 3 else "") + " " + say(10)) for i in range(60)]
+    monkeypatch.setattr(decontaminate, "BLOCK", 500)
+    monkeypatch.setattr(decontaminate, "GROUP", 1000)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontaminate.stored(benchmark)[1]) > 3
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), benchmark).collect()}
+    assert got == {(i, i % 20) for i in range(60) if i % 3}
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), benchmark).collect()} == set(range(0, 60, 3))
+
+
+def test_shards_of_hot_ids(spark):
+    """A third of the rows without id, some of them equal: they part on their texts and places, and no shard passes the limit."""
+    rows = [(None if k % 3 == 0 else k, f"text {k if k % 2 else 0} " * 20) for k in range(300)]
+    got = sharding.shard(frame(spark, rows), limit=1000).collect()
+    total = defaultdict(int)
+    for r in got:
+        total[r.shard] += r.n_bytes
+    assert len(got) == 300 and all(r.shard_bytes == total[r.shard] <= 1000 for r in got)
+    out = sharding.laid_out(sharding.shard(frame(spark, rows), limit=1000), part=5000)
+    at = [{r.shard for r in rows} for rows in out.rdd.glom().collect()]
+    assert len(at) > 5 and sum(map(len, at)) == len(total)
