@@ -8,25 +8,28 @@ The nodes are distinct shingle sets (by a 64-bit digest), so exact copies cost o
    of either set.  Those D+1 digests are the set's keys; larger parts come first, for they are rarely
    shared by accident.  A set also emits keys for the next band when a similar set may be there.  A set with too few
    filled parts for the argument, and any small set, emits single shingles (prefix filtering).  No link can be missed.
-2. Every key ties its sets to the least of them: as many rows as keys.  Components of that graph are candidates' groups.
-3. A group is laid out by size in tiles of bounded rows and shingles; tiles whose sizes can match meet pairwise.
-   In a meeting, hashed parity bitmaps bound the overlap from above by counting differing bits, survivors
-   are intersected exactly as sorted arrays, and a union-find passes over pairs that are already connected.
+2. Every key ties its sets to the least of them, the centre: as many pairs as keys.  Tiles of a centre's sets meet the centre.
+   In a meeting, sizes, then the differing bits of hashed parity bitmaps bound the overlap from above, and survivors
+   are intersected exactly as sorted arrays.  So a group of near copies, however large, is settled in linear work.
+3. What the centres leave open: components that unsettled pairs hold together are groups.  A group is dealt into tiles
+   by size band and hash, components of a tile's size or more into tiles of their own.  Tiles of neighbouring bands meet
+   pairwise, unless both are of one component, with a union-find that passes over pairs that are connected already.
    Out comes a spanning forest, never the pairs.
 4. Components of the forest, and the smallest doc_id of each.
 
 Defined cases: null or blank text has the empty set and stays alone; fewer than ``size`` words are one shingle; rows
 of equal doc_id are each reported; a null doc_id never names a component unless all are null; empty tables give empty results;
-extra columns are ignored.
+extra columns are ignored by ``join`` and pass through ``representatives``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -37,6 +40,8 @@ SMALL = 24
 PER_PART = 3.5
 NO_ID = -(1 << 63)
 TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
+#: Sets that meet their centre at once.
+TOGETHER = 256
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -84,17 +89,17 @@ def keys(one: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set (digest; null for the empty set)."""
+    """doc_id, row (a hash of doc_id and text), n_shingles, set (digest; null for the empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=4 << 20):
             sets = shingle_sets(b.column("text"), size)
             yield pa.record_batch({
-                "doc_id": b.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "doc_id": b.column("doc_id"), "row": b.column("row"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "set": pa.array([int(digest(s).view(np.int64)) if len(s) else None for s in sets], pa.int64()),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set long")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, n_shingles long, set long")
 
 
 def _keyed(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -159,11 +164,32 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
-    """Component roots of the similar pairs; where both sides 0 and 1 occur, only pairs across count."""
+def close(one: np.ndarray, others: list[np.ndarray], percent: int) -> list[bool]:
+    """Which of the others are similar to one set: by size, by bitmap, by intersection."""
+    maps = bitmaps([one, *others])
+    differ = np.bitwise_count(maps[1:] ^ maps[0]).sum(axis=1, dtype=np.int64)
+    return [_similar(one, x, int(d), percent) for x, d in zip(others, differ, strict=True)]
+
+
+def _similar(x: np.ndarray, y: np.ndarray, differ: int, percent: int) -> bool:
+    both = len(x) + len(y)
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or differ * (100 + percent) > both * (100 - percent):
+        return False
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * same >= percent * (both - same)
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray, percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Component roots of the similar pairs; where both sides 0 and 1 occur, only pairs across count.
+
+    ``known`` components are connected from the start.
+    """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     sizes = np.array([len(sets[k]) for k in order])
     maps, sides, forest = bitmaps([sets[k] for k in order]), side[order], Forest(len(order))
+    if known is not None:
+        _, first, which = np.unique(known[order], return_index=True, return_inverse=True)
+        forest.up = np.minimum(np.arange(len(order)), first[which])
     across = sides.min() != sides.max()
     for i in range(len(order)):
         stop = int(np.searchsorted(sizes, sizes[i] * 100 // percent, side="right"))
@@ -175,86 +201,160 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray
         if not len(others):
             continue
         differ = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        for j in others[differ * (100 + percent) <= (sizes[others] + sizes[i]) * (100 - percent)]:
-            if forest.root(i) != forest.root(j):
-                same = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-                if 100 * same >= percent * (sizes[i] + sizes[j] - same):
-                    forest.join(i, int(j))
+        for j, d in zip(others, differ):
+            if forest.root(i) != forest.root(j) and _similar(sets[order[i]], sets[order[j]], int(d), percent):
+                forest.join(i, int(j))
     out = np.empty(len(order), np.int64)
     out[order] = np.array(order)[forest.roots()]
     return out
 
 
+def _by_meeting(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in columns), strict=True)
+
+
+def _edges(found: list[tuple]) -> pa.RecordBatch:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.record_batch({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+
+
+def _centred(percent: int):
+    """Rows sorted by meeting and side (0: the centre) -> the links (centre, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre, held = None, (None, None), []
+
+        def settled() -> pa.RecordBatch:
+            good = close(centre[1], [x for _, x in held], percent) if held else []
+            return _edges([(centre[0], n) for (n, _), ok in zip(held, good, strict=True) if ok])
+
+        for meeting, node, side, body in _by_meeting(batches, ("meeting", "set", "side", "body")):
+            if meeting != at or len(held) >= TOGETHER:
+                yield settled()
+                held = []
+            if side == 0:
+                at, centre = meeting, (node, np.frombuffer(body, np.uint64))
+            elif meeting == at and node != centre[0]:
+                held.append((node, np.frombuffer(body, np.uint64)))
+        yield settled()
+
+    return run
+
+
 def _meetings(percent: int):
-    """Rows sorted by meeting -> forest edges (a, b)."""
+    """Rows sorted by meeting -> forest edges between components."""
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
         rows = list({(r[1], r[2]): r for r in rows}.values())
-        nodes = np.array([r[1] for r in rows], np.int64)
-        roots = linked([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[2] for r in rows]), percent)
-        tied = np.flatnonzero(roots != np.arange(len(roots)))
-        if len(tied):
-            yield pa.record_batch({"a": nodes[roots[tied]], "b": nodes[tied]})
+        known = np.array([r[4] for r in rows], np.int64)
+        roots = linked([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[2] for r in rows]), percent, known)
+        return _edges([(known[i], known[j]) for i, j in enumerate(roots) if known[i] != known[j]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("meeting", "set", "side", "body")), strict=True):
-                if held and held[-1][0] != row[0]:
-                    yield from solve(held)
-                    held = []
-                held.append(row)
+        for row in _by_meeting(batches, ("meeting", "set", "side", "body", "comp")):
+            if held and held[-1][0] != row[0]:
+                yield solve(held)
+                held = []
+            held.append(row)
         if held:
-            yield from solve(held)
+            yield solve(held)
 
     return run
 
 
 def _bodies(size: int):
+    """Texts with the digest of their set -> the set itself, once a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=2 << 20):
-            sets = shingle_sets(b.column("text"), size)
-            wanted = b.column("set").to_pylist()
-            right = [k for k, s in enumerate(sets) if len(s) and int(digest(s).view(np.int64)) == wanted[k]]
-            if right:
-                yield pa.record_batch({"meetings": b.column("meetings").take(pa.array(right)), "set": pa.array([wanted[k] for k in right]), "body": pa.array([sets[k].tobytes() for k in right], pa.binary())})
+            wanted, seen, rows = b.column("set").to_pylist(), set(), []
+            for k, s in enumerate(shingle_sets(b.column("text"), size)):
+                if wanted[k] not in seen:
+                    seen.add(wanted[k])
+                    rows.append((wanted[k], s.tobytes()))
+            yield pa.record_batch({"set": pa.array([r[0] for r in rows], pa.int64()), "body": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
 
+def _fetched(docs: DataFrame, reps: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """(set, body) of the wanted ``sets`` (column set), from the row that stands for each; rows that are equal may give a set twice."""
+    rows = reps.join(sets, "set", "left_semi").select("set", "row")
+    texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    return texts.join(rows, "row").select("text", "set").mapInArrow(_bodies(size), "set long, body binary")
+
+
+def _met(bodies: DataFrame, seats: DataFrame, more: list[str]) -> DataFrame:
+    """Bodies at their meetings, side by side."""
+    return bodies.join(seats, "set").select("meeting", "set", "side", "body", *more).repartition("meeting").sortWithinPartitions("meeting", "side")
+
+
+def _by_centre(bodies: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a: centre, b) of ``stars`` that are similar."""
+    tiles = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("long").alias("_tiles"))
+    meeting = lambda tile: F.xxhash64("a", tile).alias("meeting")
+    centres = tiles.select(F.col("a").alias("set"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)).alias("_t"), "a").select("set", meeting(F.col("_t")), F.lit(0).alias("side"))
+    others = stars.join(tiles, "a").select(F.col("b").alias("set"), meeting(F.pmod(F.xxhash64("b"), "_tiles")), F.lit(1).alias("side"))
+    seats = centres.unionByName(others)
+    return _met(bodies, seats, []).mapInArrow(_centred(percent), "a long, b long").distinct()
+
+
+def _by_tiles(bodies: DataFrame, at: DataFrame, percent: int) -> DataFrame:
+    """(set, n, comp, group) -> forest edges (a, b) between the components of each group."""
+    many = at.groupBy("comp").agg(F.count(F.lit(1)).alias("_m"))
+    # Similar sizes lie in the same band or neighbouring ones; the ratio is wider by a little for the rounding of logarithms.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent)).cast("int")
+    at = at.join(many, "comp").select("set", "n", "comp", "group", band.alias("band"), F.when(F.col("_m") >= TILE_ROWS, F.col("comp")).alias("own"))
+    size_of = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("long")
+    classes = materialize(at.groupBy("group", "band", "own").agg(size_of.alias("tiles")))
+    key = lambda c: F.struct("band", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("mixed"), "tiles").alias(c)
+    left = classes.select("group", key("x"))
+    right = classes.select("group", key("y"))
+    pairs = left.join(right, "group").filter((F.col("x") <= F.col("y")) & (F.col("y.band") - F.col("x.band") <= 1))
+    pairs = pairs.filter(F.col("x.mixed") | F.col("y.mixed") | (F.col("x.own") != F.col("y.own")))
+    span = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{c}.tiles") - 1))
+    pairs = pairs.select("group", "x", "y", span("x").alias("t")).select("group", "x", "y", "t", span("y").alias("u")).filter((F.col("x") != F.col("y")) | (F.col("t") <= F.col("u")))
+    alone = (F.col("x") == F.col("y")) & (F.col("t") == F.col("u"))
+    pairs = pairs.select("*", F.xxhash64("group", "x", "y", "t", "u").alias("meeting"), alone.alias("alone"))
+    place = lambda c, t, side: pairs.select("group", f"{c}.band", f"{c}.own", f"{c}.mixed", F.col(t).alias("tile"), "meeting", F.lit(side).alias("side"), "alone")
+    sides = place("x", "t", 0).unionByName(place("y", "u", 1).filter("not alone")).drop("alone")
+    seated = at.join(classes.withColumnRenamed("own", "_own"), (at["group"] == classes["group"]) & (at["band"] == classes["band"]) & at["own"].eqNullSafe(F.col("_own")))
+    seated = seated.select("set", "comp", at["group"], at["band"], F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("mixed"), F.pmod(F.xxhash64("set"), "tiles").alias("tile"))
+    seats = seated.join(sides, ["group", "band", "own", "mixed", "tile"]).select("set", "comp", "meeting", "side")
+    return _met(bodies, seats, ["comp"]).mapInArrow(_meetings(percent), "a long, b long")
+
+
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     about = materialize(described(docs, size))
     keyed = _keyed(docs, size, percent).repartition("key").sortWithinPartitions("key", "set")
-    coarse = components(keyed.mapInArrow(_stars, "a long, b long"))
-    reps = about.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    # Lay the groups out in tiles by size.
-    at = coarse.join(reps, coarse.node == reps.set).select("set", "doc_id", "n", F.col("root").alias("group"))
-    by_size = Window.partitionBy("group").orderBy("n", "set")
-    tile = F.floor(F.sum("n").over(by_size.rowsBetween(Window.unboundedPreceding, 0)) / TILE_SHINGLES) + F.floor((F.row_number().over(by_size) - 1) / TILE_ROWS)
-    at = materialize(at.withColumn("tile", tile))
-    tiles = at.groupBy("group", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("rows"))
-    left, right = tiles.toDF("group", "t", "_l", "high", "_r"), tiles.toDF("group", "u", "low", "_h", "_s")
-    meet = left.join(right, "group").filter((F.col("t") == F.col("u")) | (F.col("t") < F.col("u")) & (F.col("low") * percent <= F.col("high") * 100))
-    meet = meet.filter("t <> u or _r > 1").select("group", "t", "u", F.xxhash64("group", "t", "u").alias("meeting"))
-    sides = meet.select("group", F.col("t").alias("tile"), "meeting", F.lit(0).alias("side")).unionByName(meet.filter("t <> u").select("group", F.col("u").alias("tile"), "meeting", F.lit(1).alias("side")))
-    seats = at.join(sides, ["group", "tile"]).groupBy("set", "doc_id").agg(F.collect_list(F.struct("meeting", "side")).alias("meetings"))
-    wanted = docs.select("doc_id", "text").join(seats.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "set", "meetings")
-    bodies = wanted.mapInArrow(_bodies(size), "meetings array<struct<meeting: long, side: int>>, set long, body binary")
-    bodies = bodies.select(F.explode("meetings").alias("m"), "set", "body").select("m.meeting", "m.side", "set", "body")
-    forest = bodies.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_meetings(percent), "a long, b long")
-    roots = components(forest)
-    named = about.join(roots, about.set == roots.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "set").alias("label"))
+    stars = materialize(keyed.mapInArrow(_stars, "a long, b long").distinct())
+    reps = about.filter("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"))
+    bodies = materialize(_fetched(docs, reps, stars.select(F.explode(F.array("a", "b")).alias("set")).distinct(), size))
+    fine = materialize(components(_by_centre(bodies, stars, percent)))
+    comp = lambda df, c, new: df.join(fine.toDF(c, "_root"), c, "left").withColumn(new, F.coalesce("_root", c)).drop("_root")
+    # Pairs that their centres leave open hold components together as groups.
+    loose = comp(comp(stars, "a", "x"), "b", "y").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = materialize(components(loose))
+    at = comp(reps.select("set", "n"), "set", "comp").join(groups.toDF("comp", "group"), "comp")
+    coarse = components(_by_tiles(bodies, materialize(at), percent))
+    roots = comp(about.filter("set is not null").select("set").distinct(), "set", "comp").join(coarse.toDF("comp", "_top"), "comp", "left").select("set", F.coalesce("_top", "comp").alias("label"))
+    named = about.join(roots, "set", "left").select("doc_id", "n_shingles", "label")
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that name their component: one document of each group.  Rows of equal doc_id count as one
-    document (the first by text stays); of rows without doc_id those with equal text do."""
+    document (the one with the least hash of its text stays); of rows without doc_id those with equal text do."""
     found = join(docs, size, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     named = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    kept = docs.withColumn("_id", key).join(named, "_id", "left_semi")
-    copies = Window.partitionBy("_id", F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy("text")
-    return kept.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest = F.struct(F.col("text").isNull().alias("none"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), digest.alias("_text"))
+    seen = rows.groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("_n")).join(named, "_id", "left_semi")
+    chosen = seen.groupBy("_id", F.when(F.col("_id") == NO_ID, F.col("_text")).alias("_own")).agg(F.min(F.struct("_text", "_n")).alias("_at")).select("_id", "_at.*")
+    kept = rows.join(chosen, ["_id", "_text"])
+    # Only rows of one id and text need a choice between them.
+    return kept.filter("_n = 1").select("_kept.*").unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_text"]).select("_kept.*"))
