@@ -18,13 +18,15 @@ email     local part and domain                    2**32 x 2**32 over a digest;
 
 A card may stand beside other numbers: valid ones in the usual groups are taken first, then the longest valid run from the
 first number on.  Dates with the year last put the month first after a slash where that is a month; days over 12 there are
-permuted among themselves (9 x 9833), so that different dates stay different.  Phones are known by + or as 3-3-4 digits.
+permuted among themselves (9 x 9833), so that different dates stay different.  Phones are known by + or as 3-3-4 digits; a
+country code is read from the digits alone, however they are grouped, and stays.
 
 Text without a digit or @ is passed through untouched; others are split at the values and joined with the pseudonyms in
 their places, in one linear pass.
 
 Defined cases: null text stays null with counts of 0; empty text stays empty; values that fail validation stay as
-they are; repeated rows get equal results; the order of rows does not matter; extra columns pass through.
+they are; repeated rows get equal results; the order of rows does not matter; extra columns pass through, whatever their
+names, but that ``n_values`` and ``kinds`` give way to the added ones.
 """
 
 from __future__ import annotations
@@ -55,6 +57,12 @@ PATTERN = "|".join((
     _EDGE + _NATIONAL,
     _EDGE + _RUN,
 ))
+# Country codes of one and of two digits; all others have three.
+_CODES_1 = ("1", "7")
+_CODES_2 = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56",
+    "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 _IS_DAY, _IS_NATIONAL = r"^\d{1,2}([./\-])\d{1,2}\1\d{4}$", r"^(\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}([.\-])\d{3}\2\d{4})$"
 #: The usual groups of a card: unbroken, 4-4-4-4 (and up to 3 more), 4-6-5, 4-6-4.
 _GROUPED = r"^(\d{13,19}|\d{4}([ \-])\d{4}\2\d{4}\2\d{4}(\2\d{1,3})?|\d{4}([ \-])\d{6}\4\d{4,5})$"
@@ -121,7 +129,7 @@ def _kind(value: Column) -> Column:
     day = F.try_to_timestamp(F.translate(value, "/", "-"), F.lit("yyyy-MM-dd"))
     return (
         F.when(F.contains(value, F.lit("@")), F.lit("email"))
-        .when(F.startswith(value, F.lit("+")), F.when(F.length(_digits(_after_code(value))).between(7, 12), F.lit("phone")))
+        .when(F.startswith(value, F.lit("+")), F.when(F.length(_national(value)).between(7, 12), F.lit("phone")))
         .when(F.regexp_like(value, F.lit(_IS_NATIONAL)), F.lit("phone"))
         .when(F.regexp_like(value, F.lit(_IS_DAY)), F.when(F.year(_day(value)).between(1800, 2199), F.lit("date")))
         .when(F.contains(value, F.lit(".")), F.when(octets, F.lit("ip")))
@@ -215,12 +223,16 @@ def _parts(value: Column) -> Column:
     return _let(F.regexp_extract_all(value, F.lit(r"\d+[ \-]?"), F.lit(0)), of)
 
 
-def _after_code(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\+\d{1,3}", "")
+def _code(value: Column) -> Column:
+    """The country code of a phone that begins with +; empty for a national one."""
+    digits = _digits(value)
+    n = F.when(F.substring(digits, 1, 1).isin(*_CODES_1), 1).when(F.substring(digits, 1, 2).isin(*_CODES_2), 2).otherwise(3)
+    return F.when(F.startswith(value, F.lit("+")), F.substring(digits, F.lit(1), n)).otherwise("")
 
 
-def _code(value: Column) -> Column:
-    return F.regexp_extract(value, r"^\+\d{1,3}", 0)
+def _national(value: Column) -> Column:
+    """The digits after the country code."""
+    return F.substring(_digits(value), F.length(_code(value)) + 1, F.lit(99))
 
 
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
@@ -238,8 +250,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     x, y = feistel(F.floor(day / 773), day % 773, F.lit(189), F.lit(773), "date", key)
     date = _in_mask(value, F.date_format(F.date_add(first, (x * 773 + y).cast("int")), "yyyyMMdd"))
     date = F.when(F.regexp_like(value, F.lit(_IS_DAY)), _new_day(value, key)).otherwise(date)
-    rest = _after_code(value)
-    phone = F.concat(_code(value), _in_mask(rest, _permuted(_digits(rest), "phone", key)))
+    phone = _in_mask(value, F.concat(_code(value), _permuted(_national(value), "phone", key)))
     octet = lambda k: F.try_element_at(F.split(value, r"\."), F.lit(k)).try_cast("long")
     x, y = feistel(octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), F.lit(65536), F.lit(65536), "ip", key)
     ip = F.concat_ws(".", F.floor(x / 256).cast("string"), (x % 256).cast("string"), F.floor(y / 256).cast("string"), (y % 256).cast("string"))
@@ -256,16 +267,18 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
 
     ``key`` is the secret: without it pseudonyms can't be undone or made.
     """
-    text = F.col(column)
+    rest = [c for c in docs.columns if c not in ("n_values", "kinds")]
+    text = F.col(f"_kept.`{column}`")
     suspect = F.regexp_like(text, F.lit("[0-9@]"))
     values = F.when(suspect, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     found = F.transform(values, lambda v: F.when(_is_run(v), _parts(v)).otherwise(F.array(F.struct(v.alias("value"), _kind(v).alias("kind")))))
-    at = docs.withColumn("_found", found)
+    at = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_kept")).withColumn("_found", found)
     pieces = F.split(text, PATTERN, -1)
     written = lambda f: F.when(f["kind"].isNull(), f["value"]).otherwise(pseudonym(f["value"], f["kind"], key))
     new = F.transform(F.col("_found"), lambda parts: F.array_join(F.transform(parts, written), ""))
     joined = F.array_join(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
     count = lambda kind: F.size(F.filter(F.coalesce(F.flatten("_found"), F.array().cast("array<struct<value:string,kind:string>>")), lambda f: f["kind"] == kind))
     kinds = F.struct(*[count(k).alias(k) for k in KINDS])
-    out = at.withColumn(column, F.when(F.size("_found") > 0, joined).otherwise(text)).withColumn("kinds", kinds)
-    return out.withColumn("n_values", sum((F.col("kinds")[k] for k in KINDS), F.lit(0)).cast("long")).drop("_found")
+    out = at.select("_kept", F.when(F.size("_found") > 0, joined).otherwise(text).alias("_new"), kinds.alias("_kinds"))
+    kept = [F.col("_new").alias(c) if c == column else F.col(f"_kept.`{c}`").alias(c) for c in rest]
+    return out.select(*kept, F.col("_kinds").alias("kinds"), sum((F.col("_kinds")[k] for k in KINDS), F.lit(0)).cast("long").alias("n_values"))
