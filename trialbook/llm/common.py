@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
 import uuid
@@ -38,8 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one, for files that results may still read; it goes when the driver's process ends."""
+    uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, uri)
+    return uri
+
+
+def _remove(uri: str) -> None:
+    """Spark is gone by then: the store is reached as the executors reach it."""
+    from pyarrow import fs
+
+    try:
+        files, path = fs.FileSystem.from_uri(uri)
+        files.delete_dir(path)
+    except (OSError, pa.ArrowInvalid):
+        pass  # never written, removed already, or in a store that only Spark reaches
+
+
+def discard(spark: SparkSession, uri: str) -> None:
+    """Remove a folder of the shared store, through Spark's own file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
