@@ -541,3 +541,50 @@ def test_shards_of_hot_ids(spark):
     out = sharding.laid_out(sharding.shard(frame(spark, rows), limit=1000), part=5000)
     at = [{r.shard for r in rows} for rows in out.rdd.glom().collect()]
     assert len(at) > 5 and sum(map(len, at)) == len(total)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, DATA)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_phones_are_linked_however_grouped(spark):
+    texts = ["+17435553824", "+1 743 555 3824", "+1-743-555-3824", "743-555-3824", "+442071234567", "+44 2071 234567", "+420 601 123 456", "+420601123456"]
+    out = [r.text for r in pseudonyms.pseudonymize(frame(spark, list(enumerate(texts))), "secret").orderBy("doc_id").collect()]
+    bare = [re.sub(r"\D", "", t) for t in out]
+    assert bare[0] == bare[1] == bare[2] == "1" + bare[3] and bare[0] != "17435553824" and bare[4] == bare[5] and bare[6] == bare[7]
+    assert [re.sub(r"\d", "0", t) for t in out] == [re.sub(r"\d", "0", t) for t in texts]
+    assert bare[0][0] == "1" and bare[4][:2] == "44" and bare[6][:3] == "420"
+
+
+def test_mixed_counts_every_row(spark):
+    """Rows without id, and of one id, are documents of their own."""
+    rows = [(None if k % 2 else 5, " ".join(f"w{k}" for _ in range(100)), "a") for k in range(40)] + [(k, "x y z " * 50, "b") for k in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(docs)
+    want = sum(r.target for r in taken.select("source_size", "target").distinct().collect())
+    got = sum(len(r.text.split()) for r in mixing.mixed(docs).collect())
+    assert abs(sum(r.taken for r in taken.collect()) - want) <= 16 and abs(got - want) <= 300
+
+
+def test_jaccard_groups_that_centres_leave_open(spark, monkeypatch):
+    """Sets that share keys with a centre they are not similar to, in large and small components."""
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 3)
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rnd.choice((0, 2, 5, 8, 11, 14, 25))):
+            at = rnd.randrange(len(words))
+            words[at] = f"e{k}-{at}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)

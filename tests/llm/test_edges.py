@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from trialbook.llm import decontaminate, jaccard, language, media, mixing, passages, pseudonyms, repeats, sharding, tokens
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard string, copy int, kind string, target double"
+#: Extra columns, some with names that the operators use themselves.
+EXTRA = ("_id", "_copy", "_turn", "_found", "_kept", "_new", "_row", "_at", "_slot", "_hash", "kinds", "n_values", "held_out", "size", "place", "src", "set", "meeting", "row", "label")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard string, copy int, kind string, target double, " + ", ".join(f"{c} string" for c in EXTRA)
 LONG = " ".join(f"word{k % 977} other{k}" for k in range(30_000))
 ROWS = [
     (1, "the same text of several words that is here twice", "en", "a"),
@@ -27,7 +29,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, la, s, len(t or ""), 0.5, "x", 1, "k", 2.0) for i, t, la, s in ROWS], SCHEMA)
+    return spark.createDataFrame([(i, t, la, s, len(t or ""), 0.5, "x", 1, "k", 2.0, *[f"my {c}" for c in EXTRA]) for i, t, la, s in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +42,11 @@ def items(spark):
     return spark.createDataFrame([(1, "several words that is here"), (2, None), (3, "tiny")], "item_id long, text string")
 
 
+def untouched(df, but=()):
+    """The extra columns hold what they held."""
+    return all(r[c] == f"my {c}" for r in df.collect() for c in EXTRA if c not in but)
+
+
 def key(r):
     return (r.doc_id is not None, r.doc_id or 0)
 
@@ -50,7 +57,9 @@ def test_language(docs, none):
     assert len(got) == len(ROWS)
     said = {r.doc_id: r for r in got if r.doc_id is not None}
     assert all(said[i].lang_pred == "und" and said[i].score == 0 for i in (3, 4, 5, 6)) and said[1].lang_pred != "und"
-    assert language.recognized(docs, model, 0.0).columns == docs.columns
+    kept = language.recognized(docs, model, 0.0)
+    assert kept.columns == docs.columns and untouched(kept) and kept.count() == 6
+    assert language.recognized(none, None).count() == 0 and language.recognized(docs, None).count() == 0
     assert language.fit(none, ~language.held_out()) is None
     assert language.identify(none, None).count() == 0
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
@@ -60,7 +69,9 @@ def test_mix(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r.taken <= 2 * r.size for r in got)
     assert mixing.mix(none).count() == 0
-    assert mixing.mixed(docs).columns == docs.columns
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and untouched(mixed) and mixed.count() > 0
+    assert mixing.mixed(none).count() == 0
 
 
 def test_jaccard(docs, none):
@@ -70,7 +81,7 @@ def test_jaccard(docs, none):
     assert said[2] == (6, 1) and said[3] == (0, 3) and said[5] == (0, 5) and said[7][1] == 7 and said[8] == (1, 8)
     assert jaccard.join(none).count() == 0
     kept = jaccard.representatives(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and untouched(kept) and jaccard.representatives(none).count() == 0
     assert sorted(key(r) for r in kept.collect()) == sorted(key(r) for r in docs.filter("doc_id is null or doc_id <> 2").dropDuplicates(["doc_id", "text"]).collect())
 
 
@@ -97,7 +108,8 @@ def test_leaks(spark, docs, none, items):
     assert decontaminate.leaks(none, items).count() == 0
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
     clean = decontaminate.clean(docs, items)
-    assert clean.columns == docs.columns and clean.count() == len(ROWS) - 2
+    assert clean.columns == docs.columns and clean.count() == len(ROWS) - 2 and untouched(clean)
+    assert decontaminate.clean(none, items).count() == 0
 
 
 def test_shards(docs, none):
@@ -106,12 +118,14 @@ def test_shards(docs, none):
     assert all(r.shard_bytes <= 500 or r.oversize for r in got)
     assert len({r.shard for r in got if r.doc_id == 7}) == 2  # equal rows overflow to pages
     assert sharding.shard(none).count() == 0
-    assert set(docs.columns) <= set(sharding.shard(docs, keep=docs.columns).columns)
+    whole = sharding.shard(docs, keep=docs.columns)
+    assert set(docs.columns) <= set(whole.columns) and untouched(whole) and whole.count() == len(ROWS)
+    assert sharding.laid_out(sharding.shard(none, keep=none.columns)).count() == 0
 
 
 def test_pseudonyms(docs, none):
     out = pseudonyms.pseudonymize(docs, "k")
-    assert out.count() == len(ROWS) and set(docs.columns) <= set(out.columns)
+    assert out.count() == len(ROWS) and set(docs.columns) <= set(out.columns) and untouched(out, ("kinds", "n_values"))
     assert [r.text for r in out.filter("doc_id = 3").collect()] == [None]
     assert pseudonyms.pseudonymize(none, "k").count() == 0
 

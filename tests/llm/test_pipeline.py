@@ -42,3 +42,44 @@ def test_language_stage_keeps_every_lettered_text(spark):
     rows = docs.unionByName(extra)
     got = {r.doc_id for r in corpus_pipeline.language_id(spark, rows, DATA).select("doc_id").collect()}
     assert got == {r.doc_id for r in rows.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
+
+
+def test_stages_on_edge_rows(spark):
+    """Nulls, empty texts, repeated rows, rows without id and clashing columns, then an empty table, through all stages."""
+    text = "a text of many plain words that goes on for a while and then ends"
+    rows = [(1, text, "en", "a", "x"), (2, text, "en", "b", "x"), (3, None, None, None, None), (4, "", "fr", "b", "y"), (5, "1234", None, "a", "y")]
+    rows += [(6, f"another one with {k} in it, but the same id", "de", None, "z") for k in range(2)] + [(None, "no id here at all", "en", "c", "z")] * 3 + [(None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, _id string"
+    docs = spark.createDataFrame(rows, schema)
+    out = corpus_pipeline.through(spark, docs, DATA)
+    got = out.collect()
+    assert out.columns[:5] == docs.columns and {r.doc_id for r in got} <= {1, 6, None} and 1 <= len(got) <= 6
+    assert all(r._id == {1: "x", 6: "z", None: "z"}[r.doc_id] and r.shard_bytes <= 1 << 20 for r in got)
+    assert corpus_pipeline.through(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_mix_of_the_pipeline_meets_its_targets(spark):
+    """The mixing stage on what the stages before it keep: each source's words come near its target."""
+    from trialbook.llm import mixing
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, DATA).checkpoint()
+    rows = {r.doc_id: r for r in docs.collect()}
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    want, got, most = {}, {}, {}
+    for r in mixing.mix(docs).collect():
+        want[rows[r.doc_id].source] = r.target
+        most[rows[r.doc_id].source] = max(most.get(rows[r.doc_id].source, 0), r.size)
+    for r in corpus_pipeline.source_mix(spark, docs, DATA).collect():
+        got[r.source] = got.get(r.source, 0) + words(r.text)
+    assert all(abs(got.get(s, 0) - want[s]) <= most[s] for s in want)
+
+
+def test_shards_are_laid_out(spark):
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    out = corpus_pipeline.shards(spark, docs, DATA).collect()
+    total = {}
+    for r in out:
+        total[r.shard] = total.get(r.shard, 0) + r.n_bytes
+    assert len(total) > 2 and all(r.shard_bytes == total[r.shard] <= 1 << 20 for r in out)
