@@ -133,3 +133,8 @@ def matches_job(job_dir: Column, job: Column, legacy_prefix: bool = False) -> Co
 def color(job: Column) -> Column:
     """A colour for a job: # and six hex digits of its MD5; grey without a job."""
     return F.coalesce(F.concat(F.lit("#"), F.substring(F.md5(job.cast("binary")), 1, 6)), F.lit("#808080"))
+
+
+def token(secret: Column) -> Column:
+    """32 letters and digits that only who knows the secret can tell; callers bring the randomness."""
+    return F.substring(F.translate(F.base64(F.unhex(F.sha2(secret.cast("binary"), 256))), "+/=", "xyz"), 1, 32)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import names, notices, texts, times
-from .operators import catalog, grid, guard
+from .operators import catalog, custom, grid, guard
 from .plans import arguments, cleanup, lifecycle, preflight, running
 from .registry import query, read
 from .streaming import runs as stream
@@ -376,3 +376,17 @@ def q_created(spark, d):
     name = names.compose(names.padded(F.col("c_custkey")), day, F.lit("x"))
     old = times.older_than(names.created(name).cast("timestamp_ntz"), F.lit("2026-01-16 00:00:00").cast("timestamp_ntz"))
     return read(spark, d, "customer").select("c_custkey", day.alias("day"), names.created(name).alias("created"), F.when(old, "early").otherwise("late").alias("half"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS exp_name, event_type AS variant_key, count(*) AS n, CAST(max(event_id) - min(event_id) AS BIGINT) AS span FROM events GROUP BY user_id, event_type")
+def q_per_variant(spark, d):
+    def main(rows):
+        return rows.groupby(["exp_name", "variant_key"], as_index=False).agg(n=("event_id", "size"), span=("event_id", lambda x: x.max() - x.min()))
+
+    rows = read(spark, d, "events").select(F.col("user_id").cast("string").alias("exp_name"), F.col("event_type").alias("variant_key"), "event_id")
+    return custom.per_variant(rows, main, "exp_name string, variant_key string, n long, span long")
+
+
+@query("SELECT c_custkey, substr(translate(base64(unhex(sha256(c_name))), '+/=', 'xyz'), 1, 32) AS token FROM customer")
+def q_token(spark, d):
+    return read(spark, d, "customer").select("c_custkey", names.token(F.col("c_name")).alias("token"))
