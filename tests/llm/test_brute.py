@@ -588,3 +588,39 @@ def test_jaccard_groups_that_centres_leave_open(spark, monkeypatch):
         rows.append((k, " ".join(words)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, rows)).collect()}
     assert got == brute_components(rows)
+
+
+def test_maximal_groups_are_all_maximal_repeats():
+    """Against all substrings: every class of equal substrings that no single byte extends, with all its occurrences."""
+    rnd = random.Random(6)
+    for _ in range(60):
+        parts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(3, 14))) for _ in range(rnd.randint(2, 5))]
+        parts = list(dict.fromkeys(parts))
+        span, places = 3, defaultdict(list)
+        for k, p in enumerate(parts):
+            for i in range(len(p)):
+                for j in range(i + span, len(p) + 1):
+                    places[p[i:j]].append((k, i))
+        ends = lambda k, i: object() if i < 0 or i >= len(parts[k]) else parts[k][i]
+        want = {w: sorted(at) for w, at in places.items() if len(at) > 1 and len({ends(k, i - 1) for k, i in at}) > 1 and len({ends(k, i + len(w)) for k, i in at}) > 1}
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        found = repeats.maximal_groups(raw, np.append(0, np.cumsum([len(p) for p in parts])), span)
+        got = {parts[m[0][0]][m[0][1] : m[0][1] + n]: sorted(m) for n, m in found}
+        assert got == want and len(found) == len(want)
+
+
+def test_repeat_groups_hold_all_occurrences(spark):
+    rnd = random.Random(7)
+    passage = "".join(rnd.choice("abcdefghijklm") for _ in range(400))
+    rows = [(k, f"{'xyz'[k] * 5}{passage[: 400 - 90 * k]}{'uvw'[k] * 3}") for k in range(3)] + [(3, "nothing here")]
+    got = repeats.repeat_groups(frame(spark, rows)).collect()
+    text = dict(rows)
+    by_group = defaultdict(list)
+    for r in got:
+        by_group[r.group].append(r)
+    for members in by_group.values():
+        assert len({text[r.doc_id][r.start : r.start + r.length] for r in members}) == 1 and len(members) > 1 and members[0].length >= 100
+    covered = {r.doc_id: set() for r in got}
+    for r in got:
+        covered[r.doc_id] |= set(range(r.start, r.start + r.length))
+    assert {k: len(v) for k, v in covered.items()} == {0: 310, 1: 310, 2: 220}

@@ -415,3 +415,94 @@ def dedup(docs: DataFrame, span: int = 100, hot: int = HOT) -> DataFrame:
     out = removed_spans(docs, span, hot)
     removed = F.transform(F.filter("rows", lambda r: r["kind"] == REMOVED), lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n")))
     return out.select("doc_id", "text", removed.alias("removed"), "repeats").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def maximal_groups(raw: np.ndarray, offsets: np.ndarray, span: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Different segments back to back -> (length, occurrences as (segment, offset in it)) of each maximal repeat of at least
+    ``span`` bytes: common-prefix intervals whose members do not all continue to the left by one byte."""
+    size = np.diff(offsets)
+    starts = np.maximum(size - span + 1, 0)
+    segment = np.repeat(np.arange(len(size)), starts)
+    inner = np.arange(len(segment)) - np.repeat(np.cumsum(starts) - starts, starts)
+    at, data, out = offsets[segment] + inner, raw.tobytes(), []
+    tails = [data[i : offsets[k + 1]] for i, k in zip(at, segment)]
+    order = sorted(range(len(tails)), key=tails.__getitem__)
+    before = [data[at[m] - 1] if inner[m] else -1 - int(segment[m]) for m in range(len(tails))]  # no byte before is unlike any other
+    stack: list[tuple[int, int]] = []  # (common prefix with what follows, first rank of the interval)
+    for rank, m in enumerate(order):
+        last = rank + 1 == len(order)
+        depth = 0 if last else _common(tails[m], tails[order[rank + 1]])
+        low = rank
+        while stack and stack[-1][0] > depth:
+            deep, low = stack.pop()
+            members = order[low : rank + 1]
+            if deep >= span and len({before[x] for x in members}) > 1:
+                out.append((deep, [(int(segment[x]), int(inner[x])) for x in members]))
+        if not stack or stack[-1][0] < depth:
+            stack.append((depth, low))
+    return out
+
+
+GROUP = "group long, length int, content long, inner int"
+
+
+def _groups(span: int):
+    """(key, content, body) sorted by key -> the repeats among a key's different segments, and each segment that occurs again as it is."""
+
+    def solve(contents: list[int], bodies: list[bytes], many: list[int]) -> Iterator[tuple]:
+        raw = np.frombuffer(b"".join(bodies), np.uint8)
+        found = [(len(b), [(k, 0)]) for k, (b, n) in enumerate(zip(bodies, many, strict=True)) if n > 1]
+        if len(bodies) > 1:
+            found += maximal_groups(raw, np.append(0, np.cumsum([len(b) for b in bodies])), span)
+        for length, members in found:
+            k, i = members[0]
+            group = int.from_bytes(hashlib.blake2b(bodies[k][i : i + length], digest_size=8).digest(), "little", signed=True)
+            yield from ((group, length, contents[k], i) for k, i in members)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [])
+        for b in batches:
+            rows = []
+            for k, *row in zip(*(b.column(c).to_pylist() for c in ("key", "content", "body", "n")), strict=True):
+                if k != key:
+                    rows += solve(*held)
+                    key, held = k, ([], [], [])
+                for to, x in zip(held, row, strict=True):
+                    to.append(x)
+            yield _as_groups(rows)
+        yield _as_groups(list(solve(*held)))
+
+    return run
+
+
+def _as_groups(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["group", "length", "content", "inner"])
+
+
+def repeat_groups(docs: DataFrame, span: int = 100) -> DataFrame:
+    """The maximal repeats of the corpus's segments with all their occurrences: group, length, doc_id, copy, start.
+
+    A repeat ends where its segment does (a longer passage is a row of groups); a segment that occurs several times as it is counts
+    as one member of the suffix array, and its occurrences come back by a join on its content.  A key's
+    different segments are compared in one task, so this output is for keys that fit there; ``dedup`` has no such bound.
+    """
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+    base = base.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(PIECE + span)
+        for b in slices(batches, most=2 << 20):
+            raw, offsets = joined_bytes(b.column("text"))
+            key, content, start, count = cut(raw, offsets, span, hasher)
+            row = np.searchsorted(offsets, start, side="right") - 1
+            data, pick = raw.tobytes(), pa.array(row)
+            yield pa.record_batch({
+                "key": key.view(np.int64), "content": content.view(np.int64), "doc_id": b.column("doc_id").take(pick), "copy": b.column("copy").take(pick).cast(pa.int32()),
+                "start": pa.array((start - offsets[row]).astype(np.int32)), "body": pa.array([data[i : i + n - 1 + span] for i, n in zip(start, count)], pa.binary()),
+            })
+
+    cuts = base.mapInArrow(run, "key long, content long, doc_id long, copy int, start int, body binary")
+    distinct = cuts.groupBy("key", "content").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("n"))
+    groups = distinct.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_groups(span), GROUP)
+    return groups.join(cuts.drop("body", "key"), "content").select("group", "length", F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "copy", (F.col("start") + F.col("inner")).alias("start")).distinct()
