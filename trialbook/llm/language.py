@@ -7,7 +7,7 @@ The kernel of two texts is the cosine of their sets.  It is approximated from ``
 matrix products, texts x landmarks and landmarks x languages.
 
 The fit sees a bounded sample: about ``per_language`` training rows of each language and about ``rows`` in all, chosen by a
-hash of doc_id and text (so rarer ones where there are more than ``rows`` labels).  Features of the sample are computed on the
+hash of doc_id and text; of more than ``rows`` labels the most frequent ones are learned.  Features of the sample are computed on the
 executors (2 kB a row, whatever the length of the text) and only those reach the driver.  Every language of the
 sample has a landmark of its own at least.
 
@@ -86,13 +86,15 @@ class Model:
 def fit(docs: DataFrame, training: Column, per_language: int = 300, landmarks: int = 96, ridge: float = 1e-3, seed: int = 5, rows: int = 20_000) -> Model | None:
     """Train on rows where ``training`` holds and lang is not null.  None if there is none."""
     known = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # The most frequent labels: as many rows as the sample at most, so they may be broadcast.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(rows)
+    counts = docs.sparkSession.createDataFrame(counts.collect(), counts.schema)
     labels = counts.count()
     if not labels:
         return None
     # A keyed hash below a rate for each language: an expected number of rows, whatever the size of the corpus.
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = known.join(counts, "lang").filter(draw < min(per_language, rows / labels) / F.col("_n"))
+    sample = known.join(F.broadcast(counts), "lang").filter(draw < min(per_language, rows / labels) / F.col("_n"))
     sample = sample.select("doc_id", "lang", "text", draw.alias("draw")).dropDuplicates(["lang", "draw"])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
