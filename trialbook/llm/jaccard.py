@@ -331,7 +331,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     about = materialize(described(docs, size))
     keyed = _keyed(docs, size, percent).repartition("key").sortWithinPartitions("key", "set")
     stars = materialize(keyed.mapInArrow(_stars, "a long, b long").distinct())
-    reps = about.filter("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"))
+    reps = about.filter("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc"))
     bodies = materialize(_fetched(docs, reps, stars.select(F.explode(F.array("a", "b")).alias("set")).distinct(), size))
     fine = materialize(components(_by_centre(bodies, stars, percent)))
     comp = lambda df, c, new: df.join(fine.toDF(c, "_root"), c, "left").withColumn(new, F.coalesce("_root", c)).drop("_root")
@@ -340,10 +340,23 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     groups = materialize(components(loose))
     at = comp(reps.select("set", "n"), "set", "comp").join(groups.toDF("comp", "group"), "comp")
     coarse = components(_by_tiles(bodies, materialize(at), percent))
-    roots = comp(about.filter("set is not null").select("set").distinct(), "set", "comp").join(coarse.toDF("comp", "_top"), "comp", "left").select("set", F.coalesce("_top", "comp").alias("label"))
-    named = about.join(roots, "set", "left").select("doc_id", "n_shingles", "label")
-    least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    sets = comp(reps.select("set", "doc"), "set", "comp").join(coarse.toDF("comp", "_top"), "comp", "left").select("set", "doc", F.coalesce("_top", "comp").alias("label"))
+    roots = materialize(_least(materialize(sets)))
+    # Plain exchanges on both sides, so that Spark can split a set that many rows have.
+    named = about.filter("set is not null").join(roots, "set").select("doc_id", "n_shingles", "component_id")
+    return named.unionByName(about.filter("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _least(sets: DataFrame) -> DataFrame:
+    """(set, doc, label) -> (set, component_id), the least doc of each label.
+
+    A label with over a thousandth of the sets is told by a broadcast (of under a thousand rows, therefore), the others by a join.
+    """
+    least = sets.groupBy("label").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    heavy = least.filter(F.col("_n") * 1000 > sets.count())
+    told = sets.join(F.broadcast(heavy), "label").select("set", "component_id")
+    rest = sets.join(F.broadcast(heavy.select("label")), "label", "left_anti").join(least, "label").select("set", "component_id")
+    return told.unionByName(rest)
 
 
 def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
