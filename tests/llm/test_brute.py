@@ -359,11 +359,12 @@ def test_jaccard_equals_sql(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in queries.op3_ngram_jaccard(spark, DATA).collect()} == want
 
 
-@pytest.mark.parametrize("step", [2, 3])
-def test_shards_in_rounds(spark, table, monkeypatch, step):
+@pytest.mark.parametrize("step,small", [(2, 1 << 16), (3, 0)])
+def test_shards_in_rounds(spark, table, monkeypatch, step, small):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     once = {(r.doc_id, r.shard, r.shard_bytes) for r in sharding.shard(docs, limit=60_000).collect()}
     monkeypatch.setattr(sharding, "STEP", step)
+    monkeypatch.setattr(sharding, "SMALL", small)
     assert {(r.doc_id, r.shard, r.shard_bytes) for r in sharding.shard(docs, limit=60_000).collect()} == once
 
 
