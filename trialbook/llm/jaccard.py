@@ -8,13 +8,15 @@ The nodes are distinct shingle sets (by a 64-bit digest), so exact copies cost o
    of either set.  Those D+1 digests are the set's keys; larger parts come first, for they are rarely
    shared by accident.  A set also emits keys for the next band when a similar set may be there.  A set with too few
    filled parts for the argument, and any small set, emits single shingles (prefix filtering).  No link can be missed.
-2. Every key ties its sets to the least of them, the centre: as many pairs as keys.  Tiles of a centre's sets meet the centre.
-   In a meeting, sizes, then the differing bits of hashed parity bitmaps bound the overlap from above, and survivors
-   are intersected exactly as sorted arrays.  So a group of near copies, however large, is settled in linear work.
+2. Every key ties its sets to the least of them, the centre: as many pairs as keys.  Sizes, then the differing bits of hashed
+   bitmap signatures (parities of twice as many slots as elements) bound a pair's overlap from above; the sets of surviving pairs are fetched, and
+   tiles of a centre's sets meet the centre, with wider bitmaps first and exact intersection of the sorted
+   arrays last.  So a group of near copies, however large, is settled in linear work.
 3. What the centres leave open: components that unsettled pairs hold together are groups.  A group is dealt into tiles
    by size band and hash, components of a tile's size or more into tiles of their own.  Tiles of neighbouring bands meet
-   pairwise, unless both are of one component, with a union-find that passes over pairs that are connected already.
-   Out comes a spanning forest, never the pairs.
+   pairwise, unless both are of one component: first their signatures, which leave the sets that may have a similar one in
+   another component, then, dealt anew, those sets themselves, with a union-find that passes over pairs that are
+   connected already.  Out comes a spanning forest, never the pairs.
 4. Components of the forest, and the smallest doc_id of each.
 
 Defined cases: null or blank text has the empty set and stays alone; fewer than ``size`` words are one shingle; rows
@@ -42,6 +44,10 @@ NO_ID = -(1 << 63)
 TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
 #: Sets that meet their centre at once.
 TOGETHER = 256
+#: Bits of a signature, at least and at most.
+BITS = 1 << 9, 1 << 18
+#: So few wanted rows are sent to every task instead of exchanging the texts.
+SMALL = 1 << 16
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -89,7 +95,7 @@ def keys(one: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), n_shingles, set (digest; null for the empty set)."""
+    """doc_id, row (a hash of doc_id and text), n_shingles, set (digest; null for the empty set), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=4 << 20):
@@ -97,9 +103,10 @@ def described(docs: DataFrame, size: int) -> DataFrame:
             yield pa.record_batch({
                 "doc_id": b.column("doc_id"), "row": b.column("row"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "set": pa.array([int(digest(s).view(np.int64)) if len(s) else None for s in sets], pa.int64()),
+                "sig": pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
             })
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, n_shingles long, set long")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, n_shingles long, set long, sig binary")
 
 
 def _keyed(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -154,13 +161,33 @@ class Forest:
         return self.up
 
 
+def parities(one: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of ``bits`` slots as 64-bit words: differing bits of two are at most the elements in which the sets differ."""
+    odd = np.bincount((stir(one) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def signature(one: np.ndarray) -> bytes:
+    return parities(one, min(max(1 << (2 * len(one)).bit_length(), BITS[0]), BITS[1])).tobytes()
+
+
+def folded(sigs: list[bytes]) -> np.ndarray:
+    """Signatures as rows of one width, that of the narrowest: halves of a wider one fold into one."""
+    maps = [np.frombuffer(x, np.uint64) for x in sigs]
+    least = min(map(len, maps))
+    for k, x in enumerate(maps):
+        while len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        maps[k] = x
+    return np.stack(maps)
+
+
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """Parity bitmaps: differing bits of two are at most the elements in which the sets differ."""
     bits = 1 << min(max(2 * max(map(len, sets)), 512).bit_length(), 15)
     out = np.zeros((len(sets), bits // 64), np.uint64)
     for k, s in enumerate(sets):
-        odd = np.bincount((stir(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        out[k] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+        out[k] = parities(s, bits)
     return out
 
 
@@ -242,21 +269,16 @@ def _centred(percent: int):
     return run
 
 
-def _meetings(percent: int):
-    """Rows sorted by meeting -> forest edges between components."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({(r[1], r[2]): r for r in rows}.values())
-        known = np.array([r[4] for r in rows], np.int64)
-        roots = linked([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[2] for r in rows]), percent, known)
-        return _edges([(known[i], known[j]) for i, j in enumerate(roots) if known[i] != known[j]])
+def _tiles(solve, payload: str):
+    """Rows sorted by meeting -> what ``solve`` makes of each meeting's rows (set, side, payload, comp, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for row in _by_meeting(batches, ("meeting", "set", "side", "body", "comp")):
-            if held and held[-1][0] != row[0]:
+        at, held = None, []
+        for meeting, *row in _by_meeting(batches, ("meeting", "set", "side", payload, "comp", "n")):
+            if held and meeting != at:
                 yield solve(held)
                 held = []
+            at = meeting
             held.append(row)
         if held:
             yield solve(held)
@@ -264,6 +286,38 @@ def _meetings(percent: int):
     return run
 
 
+def _hopeful(percent: int):
+    """Signatures of a meeting -> the sets that may be similar to one of another component."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        node, side, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3, 4))
+        maps = folded([r[2] for r in rows])
+        across, good = side.min() != side.max(), np.zeros(len(rows), bool)
+        for i in range(len(rows)):
+            fit = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            others = np.flatnonzero(fit & (side != side[i]) if across else fit)
+            others = others[others > i]
+            differ = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            close_ = others[differ * (100 + percent) <= (n[others] + n[i]) * (100 - percent)]
+            good[close_] = True
+            good[i] |= len(close_) > 0
+        return pa.record_batch({"set": node[good]})
+
+    return solve
+
+
+def _forest(percent: int):
+    """Sets of a meeting -> forest edges between components."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({(r[0], r[1]): r for r in rows}.values())
+        known = np.array([r[3] for r in rows], np.int64)
+        roots = linked([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), percent, known)
+        return _edges([(known[i], known[j]) for i, j in enumerate(roots) if known[i] != known[j]])
+
+    return solve
+
+
 def _bodies(size: int):
     """Texts with the digest of their set -> the set itself, once a batch."""
 
@@ -281,14 +335,16 @@ def _bodies(size: int):
 
 def _fetched(docs: DataFrame, reps: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """(set, body) of the wanted ``sets`` (column set), from the row that stands for each; rows that are equal may give a set twice."""
-    rows = reps.join(sets, "set", "left_semi").select("set", "row")
+    rows = materialize(reps.join(sets, "set", "left_semi").select("set", "row"))
+    if rows.count() <= SMALL:
+        rows = F.broadcast(rows)
     texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), "text")
     return texts.join(rows, "row").select("text", "set").mapInArrow(_bodies(size), "set long, body binary")
 
 
-def _met(bodies: DataFrame, seats: DataFrame, more: list[str]) -> DataFrame:
-    """Bodies at their meetings, side by side."""
-    return bodies.join(seats, "set").select("meeting", "set", "side", "body", *more).repartition("meeting").sortWithinPartitions("meeting", "side")
+def _met(rows: DataFrame, seats: DataFrame) -> DataFrame:
+    """Rows (by set) at their meetings, side by side."""
+    return rows.join(seats, "set").repartition("meeting").sortWithinPartitions("meeting", "side")
 
 
 def _by_centre(bodies: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
@@ -298,11 +354,27 @@ def _by_centre(bodies: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     centres = tiles.select(F.col("a").alias("set"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)).alias("_t"), "a").select("set", meeting(F.col("_t")), F.lit(0).alias("side"))
     others = stars.join(tiles, "a").select(F.col("b").alias("set"), meeting(F.pmod(F.xxhash64("b"), "_tiles")), F.lit(1).alias("side"))
     seats = centres.unionByName(others)
-    return _met(bodies, seats, []).mapInArrow(_centred(percent), "a long, b long").distinct()
+    return _met(bodies, seats).mapInArrow(_centred(percent), "a long, b long").distinct()
+
+
+def _may_link(stars: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``stars`` that size and signature leave."""
+    side = lambda c: reps.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    at = stars.join(side("a"), "a").join(side("b"), "b")
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = (b.column("na").to_numpy() + b.column("nb").to_numpy()) * (100 - percent)
+            pairs = [folded([x, y]) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
+            differ = np.array([int(np.bitwise_count(p[0] ^ p[1]).sum(dtype=np.int64)) for p in pairs], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= both))
+
+    return at.filter(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _by_tiles(bodies: DataFrame, at: DataFrame, percent: int) -> DataFrame:
-    """(set, n, comp, group) -> forest edges (a, b) between the components of each group."""
+def _seats(at: DataFrame, percent: int) -> DataFrame:
+    """(set, n, comp, group) -> (set, n, comp, meeting, side): tiles of neighbouring bands in a group meet, but not those of one component."""
     many = at.groupBy("comp").agg(F.count(F.lit(1)).alias("_m"))
     # Similar sizes lie in the same band or neighbouring ones; the ratio is wider by a little for the rounding of logarithms.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent)).cast("int")
@@ -321,9 +393,8 @@ def _by_tiles(bodies: DataFrame, at: DataFrame, percent: int) -> DataFrame:
     place = lambda c, t, side: pairs.select("group", f"{c}.band", f"{c}.own", f"{c}.mixed", F.col(t).alias("tile"), "meeting", F.lit(side).alias("side"), "alone")
     sides = place("x", "t", 0).unionByName(place("y", "u", 1).filter("not alone")).drop("alone")
     seated = at.join(classes.withColumnRenamed("own", "_own"), (at["group"] == classes["group"]) & (at["band"] == classes["band"]) & at["own"].eqNullSafe(F.col("_own")))
-    seated = seated.select("set", "comp", at["group"], at["band"], F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("mixed"), F.pmod(F.xxhash64("set"), "tiles").alias("tile"))
-    seats = seated.join(sides, ["group", "band", "own", "mixed", "tile"]).select("set", "comp", "meeting", "side")
-    return _met(bodies, seats, ["comp"]).mapInArrow(_meetings(percent), "a long, b long")
+    seated = seated.select("set", "n", "comp", at["group"], at["band"], F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("mixed"), F.pmod(F.xxhash64("set"), "tiles").alias("tile"))
+    return seated.join(sides, ["group", "band", "own", "mixed", "tile"]).select("set", "n", "comp", "meeting", "side")
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -331,15 +402,19 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     about = materialize(described(docs, size))
     keyed = _keyed(docs, size, percent).repartition("key").sortWithinPartitions("key", "set")
     stars = materialize(keyed.mapInArrow(_stars, "a long, b long").distinct())
-    reps = about.filter("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc"))
-    bodies = materialize(_fetched(docs, reps, stars.select(F.explode(F.array("a", "b")).alias("set")).distinct(), size))
-    fine = materialize(components(_by_centre(bodies, stars, percent)))
+    reps = about.filter("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc"))
+    reps = materialize(reps)
+    near = materialize(_may_link(stars, reps, percent))
+    fine = materialize(components(_by_centre(_fetched(docs, reps, near.select(F.explode(F.array("a", "b")).alias("set")).distinct(), size), near, percent)))
     comp = lambda df, c, new: df.join(fine.toDF(c, "_root"), c, "left").withColumn(new, F.coalesce("_root", c)).drop("_root")
     # Pairs that their centres leave open hold components together as groups.
     loose = comp(comp(stars, "a", "x"), "b", "y").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     groups = materialize(components(loose))
-    at = comp(reps.select("set", "n"), "set", "comp").join(groups.toDF("comp", "group"), "comp")
-    coarse = components(_by_tiles(bodies, materialize(at), percent))
+    at = materialize(comp(reps.select("set", "n"), "set", "comp").join(groups.toDF("comp", "group"), "comp"))
+    hopeful = _met(reps.select("set", "sig"), _seats(at, percent)).mapInArrow(_tiles(_hopeful(percent), "sig"), "set long").distinct()
+    at = materialize(at.join(hopeful, "set", "left_semi"))
+    edges = _met(_fetched(docs, reps, at.select("set"), size), _seats(at, percent)).mapInArrow(_tiles(_forest(percent), "body"), "a long, b long")
+    coarse = components(edges)
     sets = comp(reps.select("set", "doc"), "set", "comp").join(coarse.toDF("comp", "_top"), "comp", "left").select("set", "doc", F.coalesce("_top", "comp").alias("label"))
     roots = materialize(_least(materialize(sets)))
     # Plain exchanges on both sides, so that Spark can split a set that many rows have.
