@@ -12,11 +12,11 @@ The nodes are distinct shingle sets (by a 64-bit digest), so exact copies cost o
    bitmap signatures (parities of twice as many slots as elements) bound a pair's overlap from above; the sets of surviving pairs are fetched, and
    tiles of a centre's sets meet the centre, with wider bitmaps first and exact intersection of the sorted
    arrays last.  So a group of near copies, however large, is settled in linear work.
-3. What the centres leave open: components that unsettled pairs hold together are groups.  A group is dealt into tiles
-   by size band and hash, components of a tile's size or more into tiles of their own.  Tiles of neighbouring bands meet
-   pairwise, unless both are of one component: first their signatures, which leave the sets that may have a similar one in
-   another component, then, dealt anew, those sets themselves, with a union-find that passes over pairs that are
-   connected already.  Out comes a spanning forest, never the pairs.
+3. What the centres leave open: the sets of a key that still lie in several components meet by their signatures, key by key (a
+   large key's in tiles).  Those that may be similar to one of another component are held together as groups, by a spanning
+   forest.  A group is dealt into tiles by size band and hash, components of a tile's size or more into tiles of their
+   own; tiles of neighbouring bands meet pairwise, unless both are of one component, with a union-find that passes over
+   pairs that are connected already.  Out comes a spanning forest, never the pairs.
 4. Components of the forest, and the smallest doc_id of each.
 
 Defined cases: null or blank text has the empty set and stays alone; fewer than ``size`` words are one shingle; rows
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import joined_bytes, materialize, slices
 from .components import components
 from .hashing import shingles, stir, words
 
@@ -124,7 +124,7 @@ def _keyed(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and set -> (least set of the key, another)."""
+    """Rows sorted by key and set -> (key, its least set, another)."""
     last = (None, None, None)  # key, its first set, its latest set
     for b in batches:
         if not b.num_rows:
@@ -137,8 +137,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = ~new & np.append(node[0] != last[2], node[1:] != node[:-1])
         last = (key[-1], first[-1], node[-1])
         if fresh.any():
-            pairs = np.unique(np.stack([first[fresh], node[fresh]], axis=1), axis=0)
-            yield pa.record_batch({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+            yield pa.record_batch({"key": key[fresh], "a": first[fresh], "b": node[fresh]})
 
 
 class Forest:
@@ -171,15 +170,15 @@ def signature(one: np.ndarray) -> bytes:
     return parities(one, min(max(1 << (2 * len(one)).bit_length(), BITS[0]), BITS[1])).tobytes()
 
 
-def folded(sigs: list[bytes]) -> np.ndarray:
-    """Signatures as rows of one width, that of the narrowest: halves of a wider one fold into one."""
-    maps = [np.frombuffer(x, np.uint64) for x in sigs]
-    least = min(map(len, maps))
-    for k, x in enumerate(maps):
-        while len(x) > least:
+def folded(sigs: list, words: int) -> np.ndarray:
+    """Signatures as rows of so many words: halves of a wider one fold into one."""
+    out = np.empty((len(sigs), words), np.uint64)
+    for k, x in enumerate(sigs):
+        x = np.frombuffer(x, np.uint64)
+        while len(x) > words:
             x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        maps[k] = x
-    return np.stack(maps)
+        out[k] = x
+    return out
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -237,8 +236,16 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int, known: np.nda
 
 
 def _by_meeting(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows; binary values are views of the batch."""
     for b in batches:
-        yield from zip(*(b.column(c).to_pylist() for c in columns), strict=True)
+        found = []
+        for c in columns:
+            if pa.types.is_binary(b.schema.field(c).type):
+                raw, at = joined_bytes(b.column(c))
+                found.append([raw[i:j] for i, j in zip(at, at[1:])])
+            else:
+                found.append(b.column(c).to_pylist())
+        yield from zip(*found, strict=True)
 
 
 def _edges(found: list[tuple]) -> pa.RecordBatch:
@@ -287,21 +294,27 @@ def _tiles(solve, payload: str):
 
 
 def _hopeful(percent: int):
-    """Signatures of a meeting -> the sets that may be similar to one of another component."""
+    """Signatures of a meeting -> a spanning forest of the pairs of different components that may be similar."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[4])
         node, side, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3, 4))
-        maps = folded([r[2] for r in rows])
-        across, good = side.min() != side.max(), np.zeros(len(rows), bool)
-        for i in range(len(rows)):
-            fit = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            others = np.flatnonzero(fit & (side != side[i]) if across else fit)
-            others = others[others > i]
-            differ = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            close_ = others[differ * (100 + percent) <= (n[others] + n[i]) * (100 - percent)]
-            good[close_] = True
-            good[i] |= len(close_) > 0
-        return pa.record_batch({"set": node[good]})
+        across, forest = side.min() != side.max(), Forest(len(rows))
+        if (comp == comp[0]).all():
+            return _edges([])
+        stop = np.searchsorted(n, n * 100 // percent, side="right")
+        words = np.array([len(r[2]) // 8 for r in rows])  # wider with size
+        for w in np.unique(words):
+            low, high = np.searchsorted(words, [w, w + 1])
+            maps = folded([r[2] for r in rows[low : stop[high - 1]]], int(w))
+            for i in range(low, high):
+                others = np.arange(i + 1, stop[i])
+                others = others[(comp[others] != comp[i]) & ((side[others] != side[i]) | (not across))]
+                differ = np.bitwise_count(maps[others - low] ^ maps[i - low]).sum(axis=1, dtype=np.int64)
+                for j in others[differ * (100 + percent) <= (n[others] + n[i]) * (100 - percent)]:
+                    if forest.root(i) != forest.root(j):
+                        forest.join(i, int(j))
+        return _edges([(node[i], node[k]) for k, i in enumerate(forest.roots()) if i != k])
 
     return solve
 
@@ -366,7 +379,7 @@ def _may_link(stars: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = (b.column("na").to_numpy() + b.column("nb").to_numpy()) * (100 - percent)
-            pairs = [folded([x, y]) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
+            pairs = [folded([x, y], min(len(x), len(y)) // 8) for x, y in _by_meeting([b], ("sa", "sb"))]
             differ = np.array([int(np.bitwise_count(p[0] ^ p[1]).sum(dtype=np.int64)) for p in pairs], np.int64)
             yield b.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= both))
 
@@ -374,11 +387,21 @@ def _may_link(stars: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _seats(at: DataFrame, percent: int) -> DataFrame:
-    """(set, n, comp, group) -> (set, n, comp, meeting, side): tiles of neighbouring bands in a group meet, but not those of one component."""
-    many = at.groupBy("comp").agg(F.count(F.lit(1)).alias("_m"))
+    """(set, n, comp, group) -> (set, n, comp, meeting, side).
+
+    A group of a tile's size is a meeting.  Of larger ones tiles of neighbouring size bands meet, but not those of one component.
+    """
+    size = at.groupBy("group").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_s"))
+    sized = at.join(size, "group").withColumn("_large", (F.col("_m") > TILE_ROWS) | (F.col("_s") > TILE_SHINGLES))
+    small = sized.filter("not _large").select("set", "n", "comp", F.col("group").alias("meeting"), F.lit(0).alias("side"))
+    return small.unionByName(_tile_seats(sized.filter("_large").select("set", "n", "comp", "group"), percent))
+
+
+def _tile_seats(at: DataFrame, percent: int) -> DataFrame:
+    many = at.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("_m"))
     # Similar sizes lie in the same band or neighbouring ones; the ratio is wider by a little for the rounding of logarithms.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent)).cast("int")
-    at = at.join(many, "comp").select("set", "n", "comp", "group", band.alias("band"), F.when(F.col("_m") >= TILE_ROWS, F.col("comp")).alias("own"))
+    at = at.join(many, ["group", "comp"]).select("set", "n", "comp", "group", band.alias("band"), F.when(F.col("_m") >= TILE_ROWS, F.col("comp")).alias("own"))
     size_of = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("long")
     classes = materialize(at.groupBy("group", "band", "own").agg(size_of.alias("tiles")))
     key = lambda c: F.struct("band", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("mixed"), "tiles").alias(c)
@@ -401,18 +424,20 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     about = materialize(described(docs, size))
     keyed = _keyed(docs, size, percent).repartition("key").sortWithinPartitions("key", "set")
-    stars = materialize(keyed.mapInArrow(_stars, "a long, b long").distinct())
+    links = materialize(keyed.mapInArrow(_stars, "key long, a long, b long"))
+    stars = links.select("a", "b").distinct()
     reps = about.filter("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc"))
     reps = materialize(reps)
     near = materialize(_may_link(stars, reps, percent))
     fine = materialize(components(_by_centre(_fetched(docs, reps, near.select(F.explode(F.array("a", "b")).alias("set")).distinct(), size), near, percent)))
     comp = lambda df, c, new: df.join(fine.toDF(c, "_root"), c, "left").withColumn(new, F.coalesce("_root", c)).drop("_root")
-    # Pairs that their centres leave open hold components together as groups.
-    loose = comp(comp(stars, "a", "x"), "b", "y").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    groups = materialize(components(loose))
-    at = materialize(comp(reps.select("set", "n"), "set", "comp").join(groups.toDF("comp", "group"), "comp"))
-    hopeful = _met(reps.select("set", "sig"), _seats(at, percent)).mapInArrow(_tiles(_hopeful(percent), "sig"), "set long").distinct()
-    at = materialize(at.join(hopeful, "set", "left_semi"))
+    # Keys whose sets lie in several components are open.
+    open_ = comp(comp(links, "a", "x"), "b", "y").filter("x <> y").select("key").distinct()
+    members = links.select("key", F.col("a").alias("set")).distinct().unionByName(links.select("key", F.col("b").alias("set"))).join(open_, "key", "left_semi")
+    members = materialize(comp(members.join(reps.select("set", "n"), "set"), "set", "comp").withColumnRenamed("key", "group"))
+    hopeful = _met(reps.select("set", "sig"), _seats(members, percent)).mapInArrow(_tiles(_hopeful(percent), "sig"), "a long, b long")
+    groups = materialize(components(hopeful))
+    at = materialize(comp(groups.toDF("set", "group"), "set", "comp").join(reps.select("set", "n"), "set"))
     edges = _met(_fetched(docs, reps, at.select("set"), size), _seats(at, percent)).mapInArrow(_tiles(_forest(percent), "body"), "a long, b long")
     coarse = components(edges)
     sets = comp(reps.select("set", "doc"), "set", "comp").join(coarse.toDF("comp", "_top"), "comp", "left").select("set", "doc", F.coalesce("_top", "comp").alias("label"))
