@@ -126,13 +126,13 @@ def q_copied_files(spark, d):
 
 
 _TEMPLATE = "#SBATCH --job-name=__EXP_NAME__\n#SBATCH --partition=__PARTITION__\n#SBATCH --time=02:00:00\n#SBATCH --signal=B:USR1@__SIGNAL_MARGIN__\nexport PROJECT_ROOT=__PROJECT_ROOT__ # __EXP_NAME__\n"
-_OWNERS = [("/workspace/andre01/", "andre01"), ("/workspace/filesrv01/", "creator")]
+_OWNERS = [("/work/g1/", "g1"), ("/work/files/", "shared")]
 _SQL_TEXT = lambda text: "E'" + text.replace("'", "''").replace("\n", "\\n") + "'"
 
 
 @query(f"""WITH t AS (SELECT printf('%04d', CAST(max(s_suppkey) + 1 AS BIGINT)) AS id FROM supplier), e AS (SELECT id, id || '_20260201_my_run' AS n FROM t)
 SELECT 0 AS step, 'mkdir' AS action, NULL AS src, 'experiments/' || n AS dst, NULL AS detail FROM e UNION ALL SELECT 1, 'mkdir', NULL, 'outputs/' || n, NULL FROM e
-UNION ALL SELECT 2, 'write', NULL, 'experiments/' || n || '/run_slurm.sh', replace(replace(replace(replace({_SQL_TEXT(_TEMPLATE)}, '__EXP_NAME__', n), '__PROJECT_ROOT__', '/workspace/filesrv01/p'), '__PARTITION__', 'medium-creator'), '__SIGNAL_MARGIN__', '72') FROM e
+UNION ALL SELECT 2, 'write', NULL, 'experiments/' || n || '/run_slurm.sh', replace(replace(replace(replace({_SQL_TEXT(_TEMPLATE)}, '__EXP_NAME__', n), '__PROJECT_ROOT__', '/work/files/p'), '__PARTITION__', 'medium-shared'), '__SIGNAL_MARGIN__', '72') FROM e
 UNION ALL SELECT 3, 'copy', 'templates/experiment.py', 'experiments/' || n || '/experiment.py', NULL FROM e UNION ALL SELECT 4, 'copy', 'templates/config.yml', 'experiments/' || n || '/config.yml', NULL FROM e
 UNION ALL SELECT 5, 'write', NULL, 'experiments/' || n || '/metadata.yaml', 'exp_id: ' || id || chr(10) || 'exp_name: ' || n || chr(10) || 'created_date: 20260201' || chr(10) || 'git_commit: abc' || chr(10) FROM e
 UNION ALL SELECT 6, 'write', NULL, 'experiments/' || n || '/uncommitted_changes.diff', '+x' FROM e
@@ -141,7 +141,7 @@ UNION ALL SELECT 0, 'error', '/home/me', NULL, 'UNKNOWN_OWNER'""")
 def q_create_plan(spark, d):
     owners = spark.createDataFrame(_OWNERS, "prefix string, owner string")
     exps = _exps(spark, d).select("exp_name")
-    made = lifecycle.create(exps, "my run", "20260201", "/workspace/filesrv01/p", owners, _TEMPLATE, "abc", "+x")
+    made = lifecycle.create(exps, "my run", "20260201", "/work/files/p", owners, _TEMPLATE, "abc", "+x")
     return made.unionByName(lifecycle.create(exps, "my run", "20260201", "/home/me", owners, _TEMPLATE))
 
 
@@ -314,7 +314,7 @@ _CALLS = ("uv_sync", "create_exp", "mark_fail", "resume_exp", "rename_exp", "rev
 
 def _calls(spark, d):
     k = F.col("p_partkey")
-    args = F.when(k % 3 == 0, F.create_map(F.lit("p"), F.lit("a6000"), F.lit("mem"), F.lit("32g"), F.lit("name"), F.lit("x"), F.lit("reason"), F.lit(""))).when(k % 3 == 1, F.create_map(F.lit("exp"), F.lit("7"), F.lit("name"), F.lit(""), F.lit("mem"), F.lit("1g"))).otherwise(F.create_map(F.lit("name"), F.lit("x"), F.lit("new"), F.lit("y"), F.lit("reason"), F.lit("r")))
+    args = F.when(k % 3 == 0, F.create_map(F.lit("p"), F.lit("fast"), F.lit("mem"), F.lit("32g"), F.lit("name"), F.lit("x"), F.lit("reason"), F.lit(""))).when(k % 3 == 1, F.create_map(F.lit("exp"), F.lit("7"), F.lit("name"), F.lit(""), F.lit("mem"), F.lit("1g"))).otherwise(F.create_map(F.lit("name"), F.lit("x"), F.lit("new"), F.lit("y"), F.lit("reason"), F.lit("r")))
     return read(spark, d, "part").select("p_partkey", F.array(*map(F.lit, _CALLS))[(k % 8).cast("int")].alias("command"), args.alias("args"))
 
 
@@ -326,9 +326,9 @@ def q_arguments(spark, d):
     return arguments.checked(_calls(spark, d)).select("p_partkey", "error")
 
 
-@query("SELECT CASE p_partkey % 8 WHEN 0 THEN 'uv_sync' ELSE 'jupyter' END AS command, CASE p_partkey % 8 WHEN 0 THEN 'sbatch --partition=a6000 tools/uv_sync.sh' ELSE 'sbatch --partition=a6000 --mem=32g tools/start_jupyter.sh' END AS line FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 8 IN (0, 6)")
+@query("SELECT CASE p_partkey % 8 WHEN 0 THEN 'uv_sync' ELSE 'jupyter' END AS command, CASE p_partkey % 8 WHEN 0 THEN 'sbatch --partition=fast jobs/sync.sh' ELSE 'sbatch --partition=fast --mem=32g jobs/notebook.sh' END AS line FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 8 IN (0, 6)")
 def q_submitted(spark, d):
-    return arguments.submitted(_calls(spark, d)).drop("args")
+    return arguments.submitted(_calls(spark, d), {"uv_sync": "jobs/sync.sh", "jupyter": "jobs/notebook.sh"}).drop("args")
 
 
 @query("SELECT n_name AS root, CASE WHEN f = '.env' THEN 'touch' ELSE 'mkdir' END AS action, n_name || '/' || f AS dst FROM nation, (SELECT unnest(['.env', 'logs', 'notebooks', 'data', 'outputs', 'libraries', 'experiments']) AS f)")

@@ -26,11 +26,11 @@ def checked(calls: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.size("missing") > 0, F.concat(F.array_join("missing", " and "), F.when(F.size("missing") > 1, F.lit(" are required")).otherwise(F.lit(" is required")))))
 
 
-def submitted(calls: DataFrame) -> DataFrame:
-    """The command lines of environment and notebook jobs whose arguments are there: (command, args, line); nothing is run."""
+def submitted(calls: DataFrame, scripts: dict[str, str]) -> DataFrame:
+    """The command lines of environment and notebook jobs (whose ``scripts`` are given) with their arguments there: (command, args, line); nothing is run."""
     arg = lambda k: F.try_element_at("args", F.lit(k))
-    sync = F.concat(F.lit("sbatch --partition="), arg("p"), F.lit(" tools/uv_sync.sh"))
-    notebook = F.concat(F.lit("sbatch --partition="), arg("p"), F.lit(" --mem="), arg("mem"), F.lit(" tools/start_jupyter.sh"))
+    sync = F.concat(F.lit("sbatch --partition="), arg("p"), F.lit(" " + scripts["uv_sync"]))
+    notebook = F.concat(F.lit("sbatch --partition="), arg("p"), F.lit(" --mem="), arg("mem"), F.lit(" " + scripts["jupyter"]))
     ready = checked(calls).filter("error is null and command in ('uv_sync', 'jupyter')")
     return ready.select("command", "args", F.when(F.col("command") == "uv_sync", sync).otherwise(notebook).alias("line"))
 
