@@ -124,7 +124,7 @@ def _keyed(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and set -> (key, its least set, another)."""
+    """Rows sorted by key and set -> (key, its least set, another); ``many``: the key may have further sets."""
     last = (None, None, None)  # key, its first set, its latest set
     for b in batches:
         if not b.num_rows:
@@ -137,7 +137,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = ~new & np.append(node[0] != last[2], node[1:] != node[:-1])
         last = (key[-1], first[-1], node[-1])
         if fresh.any():
-            yield pa.record_batch({"key": key[fresh], "a": first[fresh], "b": node[fresh]})
+            group = np.cumsum(new)
+            count = np.bincount(group[fresh], minlength=group[-1] + 1)
+            open_ = (count > 1) | np.isin(np.arange(len(count)), (0, group[-1]))  # the first and the last may go on in another batch
+            yield pa.record_batch({"key": key[fresh], "a": first[fresh], "b": node[fresh], "many": pa.array(open_[group[fresh]])})
 
 
 class Forest:
@@ -424,14 +427,18 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     about = materialize(described(docs, size))
     keyed = _keyed(docs, size, percent).repartition("key").sortWithinPartitions("key", "set")
-    links = materialize(keyed.mapInArrow(_stars, "key long, a long, b long"))
+    links = materialize(keyed.mapInArrow(_stars, "key long, a long, b long, many boolean").groupBy("a", "b", F.when(F.col("many"), F.col("key")).alias("key")).agg(F.lit(1).alias("_one")).drop("_one"))
     stars = links.select("a", "b").distinct()
     reps = about.filter("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc"))
     reps = materialize(reps)
     near = materialize(_may_link(stars, reps, percent))
     fine = materialize(components(_by_centre(_fetched(docs, reps, near.select(F.explode(F.array("a", "b")).alias("set")).distinct(), size), near, percent)))
     comp = lambda df, c, new: df.join(fine.toDF(c, "_root"), c, "left").withColumn(new, F.coalesce("_root", c)).drop("_root")
-    # Keys whose sets lie in several components are open.
+    # Of keys with three sets or more (a pair has met already) those with the same sets count once; if these lie in several
+    # components the key is open.
+    links = links.filter("key is not null")
+    alike = links.groupBy("key").agg(F.min("a").alias("a"), F.sum(F.xxhash64("b").cast("decimal(20,0)")).alias("_sum"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    links = materialize(links.join(alike.groupBy("a", "_sum", "_n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
     open_ = comp(comp(links, "a", "x"), "b", "y").filter("x <> y").select("key").distinct()
     members = links.select("key", F.col("a").alias("set")).distinct().unionByName(links.select("key", F.col("b").alias("set"))).join(open_, "key", "left_semi")
     members = materialize(comp(members.join(reps.select("set", "n"), "set"), "set", "comp").withColumnRenamed("key", "group"))
