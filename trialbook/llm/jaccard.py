@@ -42,6 +42,8 @@ SMALL = 24
 PER_PART = 3.5
 NO_ID = -(1 << 63)
 TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
+#: The same for tiles of signatures, which are a thirtieth of the sets.
+SIG_ROWS, SIG_SHINGLES = 1 << 14, 1 << 25
 #: Sets that meet their centre at once.
 TOGETHER = 256
 #: Bits of a signature, at least and at most.
@@ -375,37 +377,37 @@ def _by_centre(bodies: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
 
 def _may_link(stars: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs of ``stars`` that size and signature leave."""
-    side = lambda c: reps.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    at = stars.join(side("a"), "a").join(side("b"), "b")
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    side = lambda c, x: reps.select(F.col("set").alias(c), F.col(x).alias(f"{x}_{c}"))
+    at = stars.join(side("a", "n"), "a").join(side("b", "n"), "b")
+    at = at.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).join(side("a", "sig"), "a").join(side("b", "sig"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = (b.column("na").to_numpy() + b.column("nb").to_numpy()) * (100 - percent)
-            pairs = [folded([x, y], min(len(x), len(y)) // 8) for x, y in _by_meeting([b], ("sa", "sb"))]
+            both = (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()) * (100 - percent)
+            pairs = [folded([x, y], min(len(x), len(y)) // 8) for x, y in _by_meeting([b], ("sig_a", "sig_b"))]
             differ = np.array([int(np.bitwise_count(p[0] ^ p[1]).sum(dtype=np.int64)) for p in pairs], np.int64)
             yield b.select(["a", "b"]).filter(pa.array(differ * (100 + percent) <= both))
 
-    return at.filter(fits).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return at.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _seats(at: DataFrame, percent: int) -> DataFrame:
+def _seats(at: DataFrame, percent: int, rows: int, shingles_: int) -> DataFrame:
     """(set, n, comp, group) -> (set, n, comp, meeting, side).
 
     A group of a tile's size is a meeting.  Of larger ones tiles of neighbouring size bands meet, but not those of one component.
     """
     size = at.groupBy("group").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_s"))
-    sized = at.join(size, "group").withColumn("_large", (F.col("_m") > TILE_ROWS) | (F.col("_s") > TILE_SHINGLES))
+    sized = at.join(size, "group").withColumn("_large", (F.col("_m") > rows) | (F.col("_s") > shingles_))
     small = sized.filter("not _large").select("set", "n", "comp", F.col("group").alias("meeting"), F.lit(0).alias("side"))
-    return small.unionByName(_tile_seats(sized.filter("_large").select("set", "n", "comp", "group"), percent))
+    return small.unionByName(_tile_seats(sized.filter("_large").select("set", "n", "comp", "group"), percent, rows, shingles_))
 
 
-def _tile_seats(at: DataFrame, percent: int) -> DataFrame:
+def _tile_seats(at: DataFrame, percent: int, rows: int, shingles_: int) -> DataFrame:
     many = at.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("_m"))
     # Similar sizes lie in the same band or neighbouring ones; the ratio is wider by a little for the rounding of logarithms.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent)).cast("int")
-    at = at.join(many, ["group", "comp"]).select("set", "n", "comp", "group", band.alias("band"), F.when(F.col("_m") >= TILE_ROWS, F.col("comp")).alias("own"))
-    size_of = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("long")
+    at = at.join(many, ["group", "comp"]).select("set", "n", "comp", "group", band.alias("band"), F.when(F.col("_m") >= rows, F.col("comp")).alias("own"))
+    size_of = F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("n") / shingles_)).cast("long")
     classes = materialize(at.groupBy("group", "band", "own").agg(size_of.alias("tiles")))
     key = lambda c: F.struct("band", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNull().alias("mixed"), "tiles").alias(c)
     left = classes.select("group", key("x"))
@@ -442,10 +444,10 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     open_ = comp(comp(links, "a", "x"), "b", "y").filter("x <> y").select("key").distinct()
     members = links.select("key", F.col("a").alias("set")).distinct().unionByName(links.select("key", F.col("b").alias("set"))).join(open_, "key", "left_semi")
     members = materialize(comp(members.join(reps.select("set", "n"), "set"), "set", "comp").withColumnRenamed("key", "group"))
-    hopeful = _met(reps.select("set", "sig"), _seats(members, percent)).mapInArrow(_tiles(_hopeful(percent), "sig"), "a long, b long")
+    hopeful = _met(reps.select("set", "sig"), _seats(members, percent, SIG_ROWS, SIG_SHINGLES)).mapInArrow(_tiles(_hopeful(percent), "sig"), "a long, b long")
     groups = materialize(components(hopeful))
     at = materialize(comp(groups.toDF("set", "group"), "set", "comp").join(reps.select("set", "n"), "set"))
-    edges = _met(_fetched(docs, reps, at.select("set"), size), _seats(at, percent)).mapInArrow(_tiles(_forest(percent), "body"), "a long, b long")
+    edges = _met(_fetched(docs, reps, at.select("set"), size), _seats(at, percent, TILE_ROWS, TILE_SHINGLES)).mapInArrow(_tiles(_forest(percent), "body"), "a long, b long")
     coarse = components(edges)
     sets = comp(reps.select("set", "doc"), "set", "comp").join(coarse.toDF("comp", "_top"), "comp", "left").select("set", "doc", F.coalesce("_top", "comp").alias("label"))
     roots = materialize(_least(materialize(sets)))
