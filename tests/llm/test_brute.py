@@ -74,6 +74,7 @@ def test_jaccard(spark, seed):
 
 def test_jaccard_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE_ROWS", 2)
+    monkeypatch.setattr(jaccard, "SIG_ROWS", 2)
     rows = noisy(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, rows)).collect()}
     assert got == brute_components(rows)
@@ -578,6 +579,7 @@ def test_mixed_counts_every_row(spark):
 def test_jaccard_groups_that_centres_leave_open(spark, monkeypatch):
     """Sets that share keys with a centre they are not similar to, in large and small components."""
     monkeypatch.setattr(jaccard, "TILE_ROWS", 3)
+    monkeypatch.setattr(jaccard, "SIG_ROWS", 3)
     rnd = random.Random(9)
     base = [f"w{k}" for k in range(200)]
     rows = []
