@@ -60,7 +60,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], growth: float, ca
 
 def _taken(docs: DataFrame, keep: list[str], weights: tuple[int, ...], growth: float, cap: int, block: int, cell_words: int, seed: int) -> DataFrame:
     """_kept (the ``keep`` columns), size, source_size, target, taken: a row for each row."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept"),
         F.col("doc_id").alias("id"),

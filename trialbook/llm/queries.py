@@ -75,7 +75,7 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id FROM s J
 #: Blocks by highest quotients, counted out one by one.
 _MIX = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
- CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS place FROM documents),
+ CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place FROM documents),
 s AS (SELECT src, sum(size) AS n, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS w FROM d GROUP BY src),
 v AS (SELECT *, (sum(n) OVER () * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * n) OVER below, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER below, 0)) AS level FROM s WINDOW below AS (ORDER BY 2.0::DOUBLE * n / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT src, n, least(2.0::DOUBLE * n, max(level) OVER () * w) AS target, CAST(pow(2, ceil(log2(greatest(n / 1048576::DOUBLE, 1)))) AS BIGINT) AS cells FROM v),

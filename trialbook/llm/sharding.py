@@ -41,7 +41,7 @@ def prefix(address: Column, bits: Column | int) -> Column:
 def address(seed: int) -> Column:
     """Words of 32 bits from MD5 digests: of doc_id, of doc_id and text, of the row's place in the input."""
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    digests = (name, F.concat_ws(":", name, "text"), F.concat_ws(":", F.lit(str(seed)), F.monotonically_increasing_id().cast("string")))
+    digests = (name, F.concat_ws(":", name, F.md5(F.col("text").cast("binary"))), F.concat_ws(":", F.lit(str(seed)), F.monotonically_increasing_id().cast("string")))
     return F.array(*[F.conv(F.substring(F.md5(d.cast("binary")), 8 * k + 1, 8), 16, 10).cast("long") for d in digests for k in range(2)])
 
 
