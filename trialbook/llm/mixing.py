@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 BLOCK, CELL_WORDS, SEED = 8, 1 << 20, 17
+#: So few sources are sent to every task, so that rows need no exchange by source and a hot one no task of its own.
+SMALL = 1 << 16
 
 
 def apportion(claims: DataFrame, within: list[str], key: list[str], claim: str, seats: Column) -> DataFrame:
@@ -77,6 +79,8 @@ def _taken(docs: DataFrame, keep: list[str], weights: tuple[int, ...], growth: f
     # Powers of two, so that places are dealt evenly.
     cells = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("source_size") / cell_words, F.lit(1.0))))).cast("long")
     sources = materialize(sources.select("src", "source_size", "target", F.col("quota").alias("source_quota"), cells.alias("cells")))
+    if sources.count() <= SMALL:
+        sources = F.broadcast(sources)
     cell = small.filter("size > 0").join(sources, "src").groupBy("src", F.pmod("place", "cells").alias("cell")).agg(F.sum("size").alias("cell_words"), F.first("source_quota").alias("source_quota"))
     cell = apportion(cell, ["src"], ["cell"], "cell_words", F.col("source_quota"))
     # Blocks beyond a cell's room go to the next ones that have room.
