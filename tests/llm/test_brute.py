@@ -566,8 +566,10 @@ def test_phones_are_linked_however_grouped(spark):
     assert bare[0][0] == "1" and bare[4][:2] == "44" and bare[6][:3] == "420"
 
 
-def test_mixed_counts_every_row(spark):
-    """Rows without id, and of one id, are documents of their own."""
+@pytest.mark.parametrize("small", [1 << 16, 0])
+def test_mixed_counts_every_row(spark, monkeypatch, small):
+    """Rows without id, and of one id, are documents of their own, whether or not the sources are sent to every task."""
+    monkeypatch.setattr(mixing, "SMALL", small)
     rows = [(None if k % 2 else 5, " ".join(f"w{k}" for _ in range(100)), "a") for k in range(40)] + [(k, "x y z " * 50, "b") for k in range(100, 140)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     taken = mixing.mix(docs)
