@@ -147,3 +147,20 @@ def test_tokens(docs, none):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
     assert [r.n_tokens for r in got if r.doc_id in (3, 4)] == [1, 1]
     assert tokens.token_files(none, path).count() == 0
+
+
+def test_materialized_frames_keep_no_exchange(spark):
+    """The files of exchanges go when a checkpoint replaces them, and the frame itself can run again."""
+    import time
+
+    from trialbook.llm.common import materialize
+
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles
+    before = {files().apply(k).getName() for k in range(files().size())}
+    df = spark.range(1000, numPartitions=4).groupBy((F.col("id") % 7).alias("k")).count()
+    found = [materialize(df) for _ in range(2)]
+    until = time.time() + 20
+    while time.time() < until and {files().apply(k).getName() for k in range(files().size())} - before:
+        time.sleep(0.1)
+    assert not {files().apply(k).getName() for k in range(files().size())} - before
+    assert df.count() == 7 and all(sorted(f.collect()) == sorted(df.collect()) for f in found)
