@@ -420,6 +420,36 @@ def test_passages_of_80_percent(spark):
     assert set(need) <= {r.doc_id for r in got}
 
 
+@pytest.mark.parametrize("every", [5, 8])
+def test_edited_passages_of_common_lines(spark, every):
+    """An edited passage each line of which came first in other documents, and one that only agrees with a later copy, are found."""
+    rnd = random.Random(3)
+    fresh = iter(range(10**9))
+    say = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    edited = lambda words, at: [f"e{next(fresh)}" if i % every == at else w for i, w in enumerate(words)]
+    rows, need = [], set()
+
+    def add(*parts):
+        rows.append((len(rows), " ".join(say(rnd.randint(10, 30)) + [w for p in parts for w in p] + say(20))))
+        return len(rows) - 1
+
+    for _ in range(15):
+        lines = [say(10) for _ in range(6)]
+        for line in lines * 3:
+            add(line)
+        a = add(*lines)
+        need.add((add(edited([w for x in lines for w in x], every - 1)), a))
+    for _ in range(15):
+        words = say(60)
+        add(edited(words, 0))
+        b = add(edited(edited(words, 0), 2))
+        need.add((add(edited(rows[b][1].split()[-80:-20], 4)), b))
+    for crowd in (2, 16):
+        got = passages.repeated(frame(spark, rows).repartition(3), crowd=crowd).collect()
+        assert need <= {(r.doc_id, r.other_id) for r in got}
+        assert all(r.n_words >= 45 and r.n_agree >= 0.8 * max(r.n_words, r.other_words) for r in got)
+
+
 def test_alignment_columns():
     """Ends with a gap, gaps between runs, and a passage inside a longer chain of low agreement."""
     a = np.arange(100, 180, dtype=np.uint32)
