@@ -450,6 +450,21 @@ def test_edited_passages_of_common_lines(spark, every):
         assert all(r.n_words >= 45 and r.n_agree >= 0.8 * max(r.n_words, r.other_words) for r in got)
 
 
+def test_common_lines_make_no_pairs(spark, monkeypatch):
+    """Documents that share a line too short for a passage don't meet each other; one that repeats more of an earlier one is found."""
+    fresh = iter(range(10**9))
+    say = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    line = say(28)
+    rows = [(k, " ".join(say(60) + line + say(60))) for k in range(80)]
+    words = rows[50][1].split()[40:100]
+    rows.append((80, " ".join(say(30) + [f"e{i}" if i % 8 == 7 else w for i, w in enumerate(words)] + say(30))))
+    made, passages_of = [], passages._passages
+    monkeypatch.setattr(passages, "_passages", lambda known, matches, *rest: made.append(matches.count()) or passages_of(known, matches, *rest))
+    got = passages.repeated(frame(spark, rows).repartition(3)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(80, 50)}
+    assert made[1] <= 40  # not 80 * 79 / 2 for every two seeds of the line
+
+
 def test_alignment_columns():
     """Ends with a gap, gaps between runs, and a passage inside a longer chain of low agreement."""
     a = np.arange(100, 180, dtype=np.uint32)
