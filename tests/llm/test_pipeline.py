@@ -3,8 +3,10 @@
 import re
 
 from conftest import DATA
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from trialbook.llm import common, decontaminate, jaccard, language
 
 
 def test_run(spark):
@@ -83,3 +85,48 @@ def test_shards_are_laid_out(spark):
     for r in out:
         total[r.shard] = total.get(r.shard, 0) + r.n_bytes
     assert len(total) > 2 and all(r.shard_bytes == total[r.shard] <= 1 << 20 for r in out)
+
+
+def test_stages_send_small_batches(spark, monkeypatch):
+    """Executors keep what batches took: those of 8 MB of text in one partition are bounded, and all rows come through."""
+    texts = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(230)), lambda i: F.hex(F.xxhash64("id", i))), " ")
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), texts.alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    most, inner = 2 * corpus_pipeline.BATCH, common.slices
+
+    def checked(batches, *args, **named):
+        def seen():
+            for b in batches:
+                if b.column("text").nbytes > most:
+                    raise ValueError(f"a batch of {b.column('text').nbytes} bytes")
+                yield b
+
+        return inner(seen(), *args, **named)
+
+    for module in (decontaminate, jaccard, language):
+        monkeypatch.setattr(module, "slices", checked)
+    own = spark.conf.get(corpus_pipeline.BATCH_BYTES)
+    out = corpus_pipeline.through(spark, docs, DATA)
+    assert {r.doc_id for r in out.select("doc_id").collect()} == set(range(2000))
+    assert spark.conf.get(corpus_pipeline.BATCH_BYTES) == own
+
+
+def test_a_smaller_limit_of_batches_stays(spark):
+    own = spark.conf.get(corpus_pipeline.BATCH_BYTES)
+    try:
+        spark.conf.set(corpus_pipeline.BATCH_BYTES, "1000b")
+        corpus_pipeline.language_id(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+        assert spark.conf.get(corpus_pipeline.BATCH_BYTES) in ("1000", "1000b")
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_BYTES, own)
+
+
+def test_fit_starts_no_workers_for_its_counts(spark, monkeypatch):
+    """A list handed to createDataFrame runs through Python workers of its own kind, which stay on the executors."""
+
+    def refused(*args, **named):
+        raise AssertionError("rows of the driver pass through Python workers")
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert language.fit(docs, ~language.held_out()).languages == sorted(r.lang for r in docs.filter("lang is not null").select("lang").distinct().collect())
+    assert language.fit(docs.limit(0), ~language.held_out()) is None

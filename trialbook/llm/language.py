@@ -88,7 +88,8 @@ def fit(docs: DataFrame, training: Column, per_language: int = 300, landmarks: i
     known = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     # The most frequent labels: as many rows as the sample at most, so they may be broadcast.
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(rows)
-    counts = docs.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    # As an Arrow table: a list would start Python workers of another kind, which stay beside the first.
+    counts = docs.sparkSession.createDataFrame(counts.toArrow(), counts.schema)
     labels = counts.count()
     if not labels:
         return None
