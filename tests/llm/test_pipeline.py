@@ -130,3 +130,21 @@ def test_fit_starts_no_workers_for_its_counts(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
     assert language.fit(docs, ~language.held_out()).languages == sorted(r.lang for r in docs.filter("lang is not null").select("lang").distinct().collect())
     assert language.fit(docs.limit(0), ~language.held_out()) is None
+
+
+def test_language_stage_identifies(spark):
+    """Texts without a lang get the one that op1 predicts, given ones stay, and without any lang all lettered texts come through."""
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    rows = {r.doc_id: r for r in some.collect()}
+    said = {r.doc_id: r.lang_pred for r in language.identify(some, language.fit(some, ~language.held_out())).collect()}
+    letters = {i for i, r in rows.items() if r.text and re.search(r"[^\W\d_]", r.text)}
+    out = corpus_pipeline.language_id(spark, some, DATA)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == docs.columns and set(got) == letters and sum(rows[i].lang is None for i in got) > 100
+    assert all(r == (rows[i] if rows[i].lang is not None else type(r)(*[said[i] if c == "lang" else rows[i][c] for c in docs.columns])) for i, r in got.items())
+    bare = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), DATA).collect()
+    assert {r.doc_id for r in bare} == letters and all(r.lang is None for r in bare)
+    # A language that is called as texts without a letter are.
+    same = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(language.UNKNOWN)), DATA)
+    assert {r.doc_id for r in same.collect()} == letters

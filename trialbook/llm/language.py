@@ -128,22 +128,26 @@ def fit(docs: DataFrame, training: Column, per_language: int = 300, landmarks: i
     return Model(languages, marks, np.linalg.solve(system, kernel.T @ (weight * target)).astype(np.float32))
 
 
+def has_letter(text: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)
+
+
 def predictor(model: Model | None) -> Callable[[pa.Array], tuple[list[str], np.ndarray]]:
     def predict(text: pa.Array) -> tuple[list[str], np.ndarray]:
-        lettered = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)
         if model is None:
             return [UNKNOWN] * len(text), np.zeros(len(text))
+        lettered = has_letter(text)
         best, score = model.score(presence(text))
         return [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
 
     return predict
 
 
-def recognized(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, as they are, whose text has a letter and a language scored ``least`` or more.
+def recognized(docs: DataFrame, model: Model | None, least: float = 0.0, into: str | None = None) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text has a letter and a language scored ``least`` or more; none without a model.
 
-    A score says how far the best language is ahead, not whether the text is in any: it falls to 1 / languages on short
-    texts, so by default none is too low.
+    The language is set in the column ``into``, if one is named, where that is null.  A score says how far the best language is ahead, not
+    whether the text is in any: it falls to 1 / languages on short texts, so by default none is too low.
     """
     given = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.landmarks, model.weights))
 
@@ -152,7 +156,22 @@ def recognized(docs: DataFrame, model: Model | None, least: float = 0.0) -> Data
         for b in batches:
             for s in slices([b], "text", 1 << 20, TOGETHER):
                 lang, score = predict(s.column("text"))
-                yield s.filter(pa.array([one != UNKNOWN and value >= least for one, value in zip(lang, score, strict=True)], pa.bool_()))
+                if into is not None:
+                    at, known = s.schema.get_field_index(into), s.column(into)
+                    s = s.set_column(at, s.schema.field(at), pc.coalesce(known, pa.array(lang, pa.string()).cast(known.type)))
+                # A language may be called as UNKNOWN is: letters tell these apart.
+                kept = has_letter(s.column("text")) & (score >= least) if given.value else np.zeros(s.num_rows, bool)
+                yield s.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(has_letter(b.column("text"))))
 
     return docs.mapInArrow(run, docs.schema)
 
