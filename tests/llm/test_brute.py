@@ -674,3 +674,48 @@ def test_repeat_groups_hold_all_occurrences(spark):
     for r in got:
         covered[r.doc_id] |= set(range(r.start, r.start + r.length))
     assert {k: len(v) for k, v in covered.items()} == {0: 310, 1: 310, 2: 220}
+
+
+@pytest.mark.parametrize("loose", [False, True])
+def test_alignments_are_filled_together(monkeypatch, loose):
+    """Many alignments in a few tables, each with the fewest edits (loose: the most agreements less edits, in the band)."""
+    rnd = np.random.default_rng(6)
+    jobs, filled, tables = [], passages._filled, []
+    for k in range(400):
+        x = rnd.integers(0, 2 + k % 20, int(rnd.integers(0, 33))).astype(np.uint32)
+        y = np.delete(x, rnd.integers(0, len(x), 3)) if k % 2 and len(x) else rnd.integers(0, 2 + k % 20, int(rnd.integers(0, 33))).astype(np.uint32)
+        jobs.append((x, y))
+    monkeypatch.setattr(passages, "_filled", lambda some, loose: tables.append(len(some)) or filled(some, loose))
+    found = passages._paths(jobs, loose)
+    assert sum(tables) == 400 and len(tables) <= 12
+    for (x, y), columns in zip(jobs, found, strict=True):
+        score = {(0, 0): 0}
+        for i in range(len(x) + 1):
+            for j in range(len(y) + 1):
+                if (i or j) and (not loose or abs(i - j) <= passages.BAND):
+                    ways = [score[at] - 1 for at in ((i - 1, j), (i, j - 1)) if at in score]
+                    ways += [score[i - 1, j - 1] + (1 if x[i - 1] == y[j - 1] else -1)] if (i - 1, j - 1) in score else []
+                    score[i, j] = max(ways)
+        i = j = 0
+        for c in columns.tolist():
+            i, j = i + (c != passages.ONLY_B), j + (c != passages.ONLY_A)
+            assert c not in (passages.AGREE, passages.DIFFER) or (x[i - 1] == y[j - 1]) == (c == passages.AGREE)
+        gain = int(np.where(columns == passages.AGREE, 1, -1).sum())
+        assert gain == (max(score.values()) if loose else score[len(x), len(y)]) and (loose or (i, j) == (len(x), len(y)))
+
+
+def test_plain_repeats_need_no_search(spark, monkeypatch):
+    """Matches on one diagonal are a chain as they are, and only texts of documents with chains are fetched."""
+    places = np.cumsum([0, 1, 2, 5, 40, 3, 1, 30, 2])
+    batch = pa.record_batch({"a": [1] * 9 + [1] * 9, "b": [2] * 9 + [3] * 9, "at": [*(places + 7), *(places * 2)], "mark": [*(8 * places), *(8 * places)]}, schema=pa.schema([(c, pa.int64()) for c in ("a", "b", "at", "mark")]))
+    search, asked = passages.chain, []
+    monkeypatch.setattr(passages, "chain", lambda a, b: asked.append(len(a)) or search(a, b))
+    out = [r for b in passages._chains(45, 0.8)(iter([batch])) for r in b.to_pylist()]
+    assert asked == [9] and [r["runs"] for r in out if r["b"] == 2] == [[{"a": 7, "b": 0, "n": int(places[-1]) + passages.KMER}]]
+    assert search(places + 7, places) == [list(range(9))]
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(100))) for k in range(20)]
+    rows += [(20, rows[4][1]), (21, " ".join(rows[7][1].split()[:10]))]
+    seen, blocks = [], passages._blocks
+    monkeypatch.setattr(passages, "_blocks", lambda size, marks=None: seen.append(marks) or blocks(size, marks))
+    assert {(r.doc_id, r.other_id) for r in passages.repeated(frame(spark, rows)).collect()} == {(20, 4)}
+    assert seen[0] is not None and np.flatnonzero(np.unpackbits(seen[0])).tolist() == [4, 20]
