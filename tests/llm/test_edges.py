@@ -164,3 +164,33 @@ def test_materialized_frames_keep_no_exchange(spark):
         time.sleep(0.1)
     assert not {files().apply(k).getName() for k in range(files().size())} - before
     assert df.count() == 7 and all(sorted(f.collect()) == sorted(df.collect()) for f in found)
+
+
+def test_passages_move_in_parts_and_leave_few_files(spark):
+    """Rows come back from parts as they were, a bucket at a time; what steps hand on goes when the next one has it."""
+    import os
+
+    import numpy as np
+    import pyarrow as pa
+
+    from trialbook.llm import passages
+
+    rng = np.random.default_rng(1)
+    seed, doc = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-5, 2**40, 5000)
+    beside = pa.array([b"x" * int(k) for k in rng.integers(0, 9, 5000)], pa.binary())
+    rows = pa.record_batch([pa.array(seed), pa.array(doc), beside], names=["seed", "doc", "beside"])
+    parts = pa.Table.from_batches(list(passages._in_parts(((passages._bucket(b.column(0).to_numpy(), 16), b) for b in (rows[:3000], rows[3000:])), 2000)))
+    assert parts.num_rows <= 32
+    found = list(passages._whole_buckets(parts.sort_by("bucket").to_batches(max_chunksize=3), ["seed", "doc"], "beside"))
+    assert len(found) == 16 and all((np.diff(b.column(0).to_numpy()) >= 0).all() for b in found)
+    back = pa.Table.from_batches(found)
+    assert sorted(zip(*(back.column(c).to_pylist() for c in range(3)))) == sorted(zip(seed.tolist(), doc.tolist(), beside.to_pylist()))
+
+    words = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+    docs = spark.createDataFrame([(k, " ".join(words[:200] + [f"v{k}"] + words[200:])) for k in range(6)], "doc_id long, text string")
+    folder = spark._jvm.java.net.URI(spark.sparkContext._jsc.sc().getCheckpointDir().get()).getPath() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
+    before = set(os.listdir(folder)) if folder else set()
+    result = passages.repeated(docs)
+    folder = spark._jvm.java.net.URI(spark.sparkContext._jsc.sc().getCheckpointDir().get()).getPath()
+    assert len(set(os.listdir(folder)) - before) == 4  # chains, passages, further matches, their chains
+    assert {r.doc_id for r in result.collect()} == {1, 2, 3, 4, 5}
